@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op2_byte_bpe
 from .quality_rules import OP10_SQL, op10_quality_rules
+from .sharding import op5_sharding
+from .token_counts import op9_token_counts
 
 QUERIES = {
+    "op2_byte_bpe": op2_byte_bpe,
+    "op5_sharding": op5_sharding,
+    "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL = {
