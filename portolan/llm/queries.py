@@ -5,9 +5,11 @@ from __future__ import annotations
 from .byte_bpe import op2_byte_bpe
 from .quality_rules import OP10_SQL, op10_quality_rules
 from .sharding import op5_sharding
+from .simhash import op1_simhash
 from .token_counts import op9_token_counts
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op2_byte_bpe": op2_byte_bpe,
     "op5_sharding": op5_sharding,
     "op9_token_counts": op9_token_counts,
