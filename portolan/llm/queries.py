@@ -6,15 +6,18 @@ from .byte_bpe import op2_byte_bpe
 from .quality_rules import OP10_SQL, op10_quality_rules
 from .sharding import op5_sharding
 from .simhash import op1_simhash
+from .substrings import OP7_SQL, op7_substring_dedup
 from .token_counts import op9_token_counts
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_byte_bpe": op2_byte_bpe,
     "op5_sharding": op5_sharding,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL = {
+    "op7_substring_dedup": OP7_SQL,
     "op10_quality_rules": OP10_SQL,
 }
