@@ -212,7 +212,7 @@ def _send_anchors(batches, buckets: int, window: int):
             new = np.ones(len(name), dtype=bool)
             new[1:] = (name[1:] != name[:-1]) | (text[1:] != text[:-1])
             name, text = name[new], text[new]
-            yield _pack(slice_id, 0, keys=keys, docs=None, high=None, low=None)
+            yield _pack(slice_id, slice_id % buckets, keys=keys, docs=None, high=None, low=None)
             yield from _by_bucket(name % np.uint64(buckets), buckets, slice_id, docs=text.astype("<u2"), high=(name >> np.uint64(16)).astype("<u4"), low=name.astype("<u2"))
 
 
@@ -308,7 +308,7 @@ def _send_windows(batches, buckets: int, window: int):
             high = span_names(x, at, at + window, 0xD1342543DE82EF95)
             low = span_names(mix(x ^ np.uint64(0x5851F42D4C957F2D)), at, at + window, 0x2545F4914F6CDD1D)
             docs = text[at]
-            yield _pack(slice_id, 0, keys=keys, docs=None, ids=None, places=None, high=None, low=None)
+            yield _pack(slice_id, slice_id % buckets, keys=keys, docs=None, ids=None, places=None, high=None, low=None)
             yield from _by_bucket(
                 high % np.uint64(buckets), buckets, slice_id, docs=docs.astype("<u2"), ids=keys[docs, 0], places=(at - begins[docs]).astype("<u4"),
                 high=high.astype("<u8"), low=(low >> np.uint64(32)).astype("<u4"),
