@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_texts, slices, table
+from .packed import bucket_count, by_bucket, pack, runs
 
 WINDOW = 13
 PHRASE = 5
@@ -157,19 +158,6 @@ def anchors(x, bounds, window: int = WINDOW, phrase: int = PHRASE):
     return out, has, whole
 
 
-def _pack(slice_id: int, bucket: int, **blobs):
-    import pyarrow as pa
-
-    columns = [pa.array([bucket], pa.int32()), pa.array([slice_id], pa.int64())]
-    columns += [pa.array([x.tobytes() if x is not None else None], pa.binary()) for x in blobs.values()]
-    return pa.RecordBatch.from_arrays(columns, names=["bucket", "slice", *blobs])
-
-
-def _read(batch, *names):
-    """The rows of a batch with their blobs as they are."""
-    return zip(*(batch.column(x).to_pylist() for x in names))
-
-
 def _slice_rows(part):
     """Token names, text bounds, text of each token and the slice's row keys (n x 2 longs); None without any word."""
     import numpy as np
@@ -212,39 +200,14 @@ def _send_anchors(batches, buckets: int, window: int):
             new = np.ones(len(name), dtype=bool)
             new[1:] = (name[1:] != name[:-1]) | (text[1:] != text[:-1])
             name, text = name[new], text[new]
-            yield _pack(slice_id, slice_id % buckets, keys=keys, docs=None, high=None, low=None)
-            yield from _by_bucket(name % np.uint64(buckets), buckets, slice_id, docs=text.astype("<u2"), high=(name >> np.uint64(16)).astype("<u4"), low=name.astype("<u2"))
-
-
-def _by_bucket(bucket, buckets: int, slice_id: int, **columns):
-    import numpy as np
-
-    bucket = bucket.astype(np.uint16)
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    columns = {k: v[order] for k, v in columns.items()}
-    for b in np.nonzero(np.diff(edges))[0].tolist():
-        yield _pack(slice_id, b, keys=None, **{k: v[edges[b] : edges[b + 1]] for k, v in columns.items()})
-
-
-def _runs(batches, by: str, names: list[str]):
-    """Lists of rows with the same value of `by`, which the rows are sorted by."""
-    held, at = [], None
-    for batch in batches:
-        for row in _read(batch, by, *names):
-            if row[0] != at and held:
-                yield at, held
-                held = []
-            at = row[0]
-            held.append(row[1:])
-    if held:
-        yield at, held
+            yield pack(slice_id, slice_id % buckets, keys=keys, docs=None, high=None, low=None)
+            yield from by_bucket(name % np.uint64(buckets), buckets, slice_id, {"keys": None}, docs=text.astype("<u2"), high=(name >> np.uint64(16)).astype("<u4"), low=name.astype("<u2"))
 
 
 def _answer_anchors(batches):
     import numpy as np
 
-    for _, rows in _runs(batches, "bucket", ["slice", "keys", "docs", "high", "low"]):
+    for _, rows in runs(batches, "bucket", ["slice", "keys", "docs", "high", "low"]):
         asked = []
         for slice_id, keys, docs, high, low in rows:
             if keys is not None:
@@ -275,7 +238,7 @@ def _to_rows(batches, width: str):
     import numpy as np
     import pyarrow as pa
 
-    for _, rows in _runs(batches, "slice", ["keys", "docs", "values"]):
+    for _, rows in runs(batches, "slice", ["keys", "docs", "values"]):
         keys = next((np.frombuffer(k, "<i8").reshape(-1, 2) for k, _, _ in rows if k is not None), None)
         told = [(np.frombuffer(d, "<u2"), np.frombuffer(v, width)) for k, d, v in rows if k is None]
         if not told or keys is None:
@@ -308,9 +271,9 @@ def _send_windows(batches, buckets: int, window: int):
             high = span_names(x, at, at + window, 0xD1342543DE82EF95)
             low = span_names(mix(x ^ np.uint64(0x5851F42D4C957F2D)), at, at + window, 0x2545F4914F6CDD1D)
             docs = text[at]
-            yield _pack(slice_id, slice_id % buckets, keys=keys, docs=None, ids=None, places=None, high=None, low=None)
-            yield from _by_bucket(
-                high % np.uint64(buckets), buckets, slice_id, docs=docs.astype("<u2"), ids=keys[docs, 0], places=(at - begins[docs]).astype("<u4"),
+            yield pack(slice_id, slice_id % buckets, keys=keys, docs=None, ids=None, places=None, high=None, low=None)
+            yield from by_bucket(
+                high % np.uint64(buckets), buckets, slice_id, {"keys": None}, docs=docs.astype("<u2"), ids=keys[docs, 0], places=(at - begins[docs]).astype("<u4"),
                 high=high.astype("<u8"), low=(low >> np.uint64(32)).astype("<u4"),
             )
 
@@ -318,7 +281,7 @@ def _send_windows(batches, buckets: int, window: int):
 def _answer_windows(batches):
     import numpy as np
 
-    for _, rows in _runs(batches, "bucket", ["slice", "keys", "docs", "ids", "places", "high", "low"]):
+    for _, rows in runs(batches, "bucket", ["slice", "keys", "docs", "ids", "places", "high", "low"]):
         asked = []
         for slice_id, keys, *blobs in rows:
             if keys is not None:
@@ -366,11 +329,6 @@ def _remove(batches, window: int):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
-def bucket_count(docs: DataFrame) -> int:
-    """Buckets that names are dealt into: four for each input partition, a power of two from 64 to 32768."""
-    return min(1 << 15, max(64, 1 << (4 * docs.rdd.getNumPartitions() - 1).bit_length()))
-
-
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) for each row: kept is its words, without those in windows that also start in a
     row with a smaller id, joined by one space."""
