@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import byte_texts, slices, table
 
 #: A worker's pre-token cache is emptied beyond so many entries; longer pre-tokens aren't kept.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 400_000
 CACHE_LENGTH = 64
 
 _MODELS: dict = {}
@@ -69,28 +69,63 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialised_model(self.tokens))
         self.split = regex.compile(pattern).findall
         self.chars = {b: c for b, c in enumerate(byte_characters())}
-        self.cache: dict[str, list[int]] = {}
+        self.table = None
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the cache: pre-token to its place in `ids`, between two of `edges`."""
+        import numpy as np
+
+        self.places: dict[str, int] = {}
+        self.edges, self.ids = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int32)
 
     def mapped(self, pre_token: str) -> str:
         return pre_token.encode().decode("latin-1").translate(self.chars)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode_flat(self, texts: list[str]):
+        """(ids, edges): all texts' ids in one array, text i's between edges[i] and edges[i + 1]."""
+        import numpy as np
+
+        if len(self.edges) > CACHE_ENTRIES or len(self.ids) > CACHE_LENGTH * CACHE_ENTRIES // 8:
+            self.forget()
         parts = [self.split(x) for x in texts]
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        missing = list(set().union(*parts).difference(self.cache))
-        found = dict(zip(missing, self.model.encode([self.mapped(x) for x in missing], num_threads=1))) if missing else {}
-        known = self.cache
+        flat = [x for part in parts for x in part]
+        places = self.places
+        missing = list(set(flat).difference(places))
+        if missing:
+            found = self.model.encode([self.mapped(x) for x in missing], num_threads=1)
+            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            places.update(zip(missing, range(len(self.edges) - 1, len(self.edges) - 1 + len(missing))))
+            self.edges = np.concatenate([self.edges, self.edges[-1] + np.cumsum(sizes)])
+            self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), dtype=np.int32, count=int(sizes.sum()))])
+        at = np.fromiter(map(places.__getitem__, flat), dtype=np.int64, count=len(flat))
+        first, sizes = self.edges[at], self.edges[at + 1] - self.edges[at]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.repeat(first - (ends - sizes), sizes) + np.arange(total)]
+        tokens = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
         for x in missing:
-            if len(x) <= CACHE_LENGTH:
-                known[x] = found[x]
-        out = []
-        for part in parts:
-            ids: list[int] = []
-            for x in part:
-                ids += known[x] if x in known else found[x]
-            out.append(ids)
-        return out
+            if len(x) > CACHE_LENGTH:
+                del places[x]
+        return ids, np.concatenate([[0], ends])[tokens]
+
+    def decode_flat(self, ids, edges):
+        """(bytes, edges): all texts' bytes in one string."""
+        import numpy as np
+
+        if self.table is None:
+            self.table = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
+            self.ends = np.cumsum([len(x) for x in self.tokens]).astype(np.int64)
+            self.sizes = np.diff(self.ends, prepend=0)
+        sizes = self.sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        shift = (self.ends[ids] - ends[1:]).astype(np.int32)
+        body = self.table[np.repeat(shift, sizes) + np.arange(ends[-1], dtype=np.int32)]
+        return body.tobytes(), ends[edges]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        ids, edges = self.encode_flat(texts)
+        return [ids[a:b].tolist() for a, b in zip(edges, edges[1:])]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -108,10 +143,12 @@ def _batches(batches, path, pattern, decode):
     own = codec(path, pattern)
     for batch in batches:
         for part in slices(batch):
-            ids = own.encode([x.decode() for x in byte_texts(part)])
-            columns = [part.column("key"), pa.array(ids, pa.list_(pa.int32()))]
+            ids, edges = own.encode_flat([x.decode() for x in byte_texts(part)])
+            columns = [part.column("key"), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids))]
             if decode:  # from the ids alone
-                columns.append(pa.array([own.decode(x) for x in columns[1].to_pylist()], pa.binary()))
+                body, ends = own.decode_flat(ids, edges)
+                buffers = [None, pa.py_buffer(ends.astype("<i4").tobytes()), pa.py_buffer(body)]
+                columns.append(pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, buffers))
             yield pa.RecordBatch.from_arrays(columns, names=["key", "ids", "decoded"][: len(columns)])
 
 
