@@ -9,8 +9,8 @@ themselves, so copies never expand into pairs, and no link between components is
 Equal fingerprints are one node. Tiles are packed into binary rows of TILE fingerprints at most; the counts' cells that
 hold more are cut into several tiles.
 
-Defined results: a text without words has fingerprint zero, linked like any other; null is such a text; null doc_ids
-never become a component's id unless the component has no other; repeated rows return as often as they occur; other
+Defined results: a text without words has fingerprint zero, linked like any other; null is such a text; null keys
+come last, so they name a component only if it has no other; repeated rows return as often as they occur; other
 columns, whatever their names, aren't read; an empty table gives an empty result.
 """
 
@@ -33,29 +33,34 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def fingerprint(words: list[bytes], width: int, seed: int = SEED, unique: bool = False) -> int:
-    """The bits set in over half of the XXH64 of the word shingles; of the distinct ones if unique."""
+def fingerprint(words: list[bytes], width: int, seed: int = SEED, lanes: int = 1, unique: bool = False):
+    """The bits set in over half of the hashes of the word shingles (of the distinct ones if unique), as `lanes` 64-bit numbers.
+
+    One lane takes XXH64, two take the 128-bit XXH3.
+    """
     import numpy as np
-    from xxhash import xxh64_intdigest
+    from xxhash import xxh64_digest, xxh128_digest
 
     if not words:
-        return 0
+        return np.zeros(lanes, dtype=np.uint64)
     if len(words) <= width:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*[words[i:] for i in range(width)]))
     if unique:
         shingles = set(shingles)
-    h = np.fromiter((xxh64_intdigest(x, seed) for x in shingles), dtype="<u8")
-    ones = np.zeros(64, dtype=np.int64)
+    digest = (xxh64_digest, xxh128_digest)[lanes - 1]
+    h = np.frombuffer(b"".join([digest(x, seed) for x in shingles]), dtype=np.uint8).reshape(-1, 8 * lanes)
+    ones = np.zeros(64 * lanes, dtype=np.int64)
     for a in range(0, len(h), 1 << 14):
-        ones += np.unpackbits(h[a : a + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+        ones += np.unpackbits(h[a : a + (1 << 14)], axis=1).sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * ones > len(h)).view(">u8").astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, key: str, text: str, width: int, seed: int = SEED, unique: bool = False) -> DataFrame:
-    """(key, fp long) for each row; fp is the fingerprint's 64 bits as a signed long."""
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+def fingerprints(docs: DataFrame, keys: list[str], text: str, width: int, seed: int = SEED, lanes: int = 1, unique: bool = False) -> DataFrame:
+    """keys, and fp0 (and fp1) for each row: the fingerprint's lanes as signed longs."""
+    rows = docs.select(*keys, F.col(text).alias("text"))
+    own = [f"fp{i}" for i in range(lanes)]
 
     def batches(parts):
         import numpy as np
@@ -63,11 +68,12 @@ def fingerprints(docs: DataFrame, key: str, text: str, width: int, seed: int = S
 
         for batch in parts:
             for part in slices(batch):
-                fps = np.array([fingerprint(words_of(x), width, seed, unique) for x in byte_texts(part)], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(fps.view(np.int64))], names=["key", "fp"])
+                fps = [fingerprint(words_of(x), width, seed, lanes, unique) for x in byte_texts(part)]
+                fps = np.array(fps, dtype=np.uint64).reshape(-1, lanes).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), *(pa.array(fps[:, i]) for i in range(lanes))], names=[*keys, *own])
 
-    kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(batches, f"key {kind}, fp long").withColumnRenamed("key", key)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
+    return rows.mapInArrow(batches, f"{kinds}, " + ", ".join(f"{x} long" for x in own))
 
 
 def _forest(a, b, radius: int, same: bool):
@@ -81,7 +87,8 @@ def _forest(a, b, radius: int, same: bool):
     kept: list = []
     for i in range(0, len(a), BLOCK):
         for j in range(i if same else 0, len(b), BLOCK):
-            near = np.bitwise_count(a[i : i + BLOCK, None] ^ b[None, j : j + BLOCK]) <= radius
+            apart = sum(np.bitwise_count(a[i : i + BLOCK, None, k] ^ b[None, j : j + BLOCK, k]) for k in range(a.shape[1]))
+            near = apart <= radius
             x, y = np.nonzero(near)
             x, y = x + i, y + j + off
             while len(x):
@@ -114,30 +121,34 @@ def signature_deltas(parts: int, radius: int) -> list[tuple[int, ...]]:
 
 def parts_for(n: int, radius: int) -> int:
     """The number of parts: more as fingerprints grow in number and as the radius allows, so that cells stay small."""
-    if radius > 4:
+    if radius > 4:  # signatures that near would take too many neighbours
         return 1
     return 2 if n < 1 << 17 else 4 if n < 1 << 24 else 8
 
 
-def links(fps: DataFrame, radius: int, parts: int | None = None) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints fps (fp): a spanning forest of each pair of tiles."""
+def links(fps: DataFrame, radius: int, lanes: int = 1, parts: int | None = None) -> DataFrame:
+    """Links (a, b) between the distinct fingerprints fps (fp0, ...), as hex strings: a spanning forest of each pair of tiles."""
     spark = fps.sparkSession
     scratch = Scratch(spark)
-    fps = scratch.keep(fps.select("fp"), "fps")
+    own = [f"fp{i}" for i in range(lanes)]
+    fps = scratch.keep(fps.select(*own), "fps")
     parts = parts or parts_for(fps.count(), radius)
-    bits, base = 64 // parts, 64 // parts + 1
+    if lanes > 1 and parts > 1:
+        raise ValueError("wide fingerprints are laid out by their whole population count")
+    bits, base = 64 * lanes // parts, 64 * lanes // parts + 1
     weights = [base**p for p in range(parts)]
     mask = (1 << bits) - 1
 
     def count(p):
-        moved = F.shiftrightunsigned("fp", p * bits)
-        return F.bit_count(moved if bits == 64 else moved.bitwiseAND(F.lit(mask)))
+        if parts == 1:
+            return sum((F.bit_count(x) for x in own), F.lit(0))
+        return F.bit_count(F.shiftrightunsigned("fp0", p * bits).bitwiseAND(F.lit(mask)))
 
     cell = sum((count(p).cast("long") * weights[p] for p in range(parts)), F.lit(0).cast("long"))
     fps = fps.withColumn("cell", cell)
     cells = fps.groupBy("cell").agg(F.count("*").alias("n")).select("cell", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
     cells = scratch.keep(cells, "cells")
-    dealt = fps.join(cells, "cell").select("cell", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int").alias("tile"), "fp")
+    dealt = fps.join(cells, "cell").select("cell", F.pmod(F.xxhash64(*own), F.col("tiles")).cast("int").alias("tile"), *own)
 
     def pack(groups):
         import numpy as np
@@ -145,7 +156,8 @@ def links(fps: DataFrame, radius: int, parts: int | None = None) -> DataFrame:
 
         cell, tile, held = None, None, []
         for batch in groups:
-            c, t, f = (batch.column(i).to_numpy() for i in range(3))
+            c, t, *f = (batch.column(i).to_numpy() for i in range(2 + lanes))
+            f = np.stack(f, axis=1)
             edges = np.nonzero((np.diff(c) != 0) | (np.diff(t) != 0))[0] + 1
             for part in np.split(np.arange(len(c)), edges) if len(c) else []:
                 at = (int(c[part[0]]), int(t[part[0]]))
@@ -161,7 +173,7 @@ def links(fps: DataFrame, radius: int, parts: int | None = None) -> DataFrame:
         body = np.concatenate(held).astype("<i8").tobytes()
         return pa.RecordBatch.from_arrays([pa.array([cell], pa.int64()), pa.array([tile], pa.int32()), pa.array([body], pa.binary())], names=["cell", "tile", "body"])
 
-    tiles = dealt.repartition("cell", "tile").sortWithinPartitions("cell", "tile", "fp").mapInArrow(pack, "cell long, tile int, body binary")
+    tiles = dealt.repartition("cell", "tile").sortWithinPartitions("cell", "tile", *own).mapInArrow(pack, "cell long, tile int, body binary")
     tiles = scratch.keep(tiles, "tiles")
 
     # tile pairs: the cells that a cell may link with, itself first
@@ -178,7 +190,7 @@ def links(fps: DataFrame, radius: int, parts: int | None = None) -> DataFrame:
     near = near.join(cells.select(F.col("cell").alias("other")), "other")  # cells that exist
     pairs = near.join(tiles.select("cell", "tile", F.col("body").alias("a")), "cell")
     pairs = pairs.join(tiles.select(F.col("cell").alias("other"), F.col("tile").alias("tile2"), F.col("body").alias("b")), "other")
-    pairs = pairs.where("cell <> other or tile <= tile2").select((F.col("cell").eqNullSafe(F.col("other")) & (F.col("tile") == F.col("tile2"))).alias("same"), "a", "b")
+    pairs = pairs.where("cell <> other or tile <= tile2").repartition("cell", "tile", "other", "tile2").select((F.col("cell").eqNullSafe(F.col("other")) & (F.col("tile") == F.col("tile2"))).alias("same"), "a", "b")
 
     def compare(groups):
         import numpy as np
@@ -186,28 +198,38 @@ def links(fps: DataFrame, radius: int, parts: int | None = None) -> DataFrame:
 
         for batch in groups:
             for same, a, b in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                a, b = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+                a, b = (np.frombuffer(v, "<u8").reshape(-1, lanes) for v in (a, b))
                 x, y = _forest(a, b, radius, same)
                 if len(x):
-                    all_ = (a if same else np.concatenate([a, b])).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(all_[x]), pa.array(all_[y])], names=["a", "b"])
+                    every = (a if same else np.concatenate([a, b])).astype(">u8")
+                    ends = [pa.array([every[i].tobytes().hex() for i in v.tolist()]) for v in (x, y)]
+                    yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+    return pairs.mapInArrow(compare, "a string, b string")
+
 
-    return pairs.mapInArrow(compare, "a long, b long")
+def hexed(lanes: int):
+    """The fingerprint's hex digits."""
+    return F.concat(*[F.lpad(F.lower(F.hex(f"fp{i}")), 16, "0") for i in range(lanes)])
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
-    """(key, fp, component_id) for each row; component_id is the least key of the rows that links reach."""
+def near_duplicates(docs: DataFrame, keys: list[str], text: str = "text", width: int = 3, radius: int = 2, lanes: int = 1, unique: bool = False) -> DataFrame:
+    """keys, fingerprint (hex) and least for each row; least is the smallest struct of keys (those with nulls last) of the
+    rows that links reach, itself included."""
     scratch = Scratch(docs.sparkSession)
-    marked = scratch.keep(fingerprints(docs, key, text, width), "fingerprints")
-    ids = marked.groupBy("fp").agg(F.min(key).alias("least"))
-    found = components(links(ids, radius), "long")
-    rooted = ids.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = scratch.keep(rooted, "rooted")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(named, "root").select(F.col("fp").alias("f"), "component_id")
-    return marked.join(named, F.col("fp") == F.col("f")).select(key, "fp", "component_id")
+    own = [f"fp{i}" for i in range(lanes)]
+    marked = scratch.keep(fingerprints(docs, keys, text, width, lanes=lanes, unique=unique), "fingerprints")
+    order = F.struct(*[x for k in keys for x in (F.col(k).isNull().alias(f"no_{k}"), F.col(k).alias(k))])
+    ids = marked.groupBy(*own).agg(F.min(order).alias("least"))
+    found = components(links(ids, radius, lanes), "string")
+    rooted = ids.select(hexed(lanes).alias("fingerprint"), "least").join(found, F.col("fingerprint") == F.col("node"), "left")
+    rooted = scratch.keep(rooted.select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")), "rooted")
+    named = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    named = rooted.select("fingerprint", "root").join(named, "root").select(F.col("fingerprint").alias("f"), F.struct(*[F.col("least")[k].alias(k) for k in keys]).alias("least"))
+    marked = marked.select(*keys, hexed(lanes).alias("fingerprint"))
+    return marked.join(named, F.col("fingerprint") == F.col("f")).select(*keys, "fingerprint", "least")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
-    out = near_duplicates(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    out = near_duplicates(table(spark, sf_dir, "documents"), ["doc_id"])
+    return out.select("doc_id", "fingerprint", F.col("least.doc_id").alias("component_id"))
