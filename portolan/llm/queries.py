@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op2_byte_bpe
+from .language_model import op4_lm_scoring
 from .quality_rules import OP10_SQL, op10_quality_rules
 from .sharding import op5_sharding
 from .simhash import op1_simhash
@@ -12,6 +13,7 @@ from .token_counts import op9_token_counts
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_sharding": op5_sharding,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_token_counts": op9_token_counts,
