@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op2_byte_bpe
+from .decontamination import op6_decontamination
 from .language_model import op4_lm_scoring
 from .quality_rules import OP10_SQL, op10_quality_rules
 from .sharding import op5_sharding
@@ -15,11 +16,13 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_sharding": op5_sharding,
+    "op6_decontamination": op6_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL = {
+    "op6_decontamination": op6_decontamination,
     "op7_substring_dedup": OP7_SQL,
     "op10_quality_rules": OP10_SQL,
 }
