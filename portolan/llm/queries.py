@@ -5,6 +5,7 @@ from __future__ import annotations
 from .byte_bpe import op2_byte_bpe
 from .decontamination import op6_decontamination
 from .language_model import op4_lm_scoring
+from .licenses import op3_license_scan
 from .quality_rules import OP10_SQL, op10_quality_rules
 from .sharding import op5_sharding
 from .simhash import op1_simhash
@@ -14,6 +15,7 @@ from .token_counts import op9_token_counts
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_license_scan": op3_license_scan,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
