@@ -8,7 +8,8 @@ decided its run and its pairing. A symbol whose support lies inside a window is
 
 Phrases, the shortest sequences of symbols with PHRASE words at least, are named one level higher. The phrase of least
 name among those supported inside a window is the window's anchor; equal windows have equal anchors.
-Round 1 (Spark): anchors are dealt by name, and those that two rows share are sent back to their rows.
+Round 1 (Spark): anchors are dealt by name, and those that two rows share are told to all: by a bitmap of fixed size
+while they are few enough for it, else by sending them back to their rows.
 Round 2 (Spark): windows with a shared anchor, and the few without any anchor, are dealt by a 96-bit name of their
 words, and the least doc_id of each is found; windows with a smaller one than their own are sent back.
 Round 3: the words that such windows cover are removed.
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, slices, table
+from .common import Scratch, byte_texts, slices, table
 from .packed import bucket_count, by_bucket, pack, runs
 
 WINDOW = 13
@@ -33,6 +34,12 @@ NO_ID = (1 << 63) - 1
 #: A worker's cache of token names is emptied beyond so many tokens.
 CACHE_ENTRIES = 400_000
 
+#: Bits of the broadcast bitmap of shared anchors (16 MB), and the most names it is used for; beyond, rows are joined.
+FILTER_BITS = 1 << 27
+FILTER_NAMES = 1 << 23
+#: The slice number of rows that hold a bucket's shared names.
+SHARED = -(1 << 63)
+
 _NAMES: dict = {}
 
 
@@ -166,7 +173,7 @@ def _slice_rows(part):
     words = [x.split() for x in byte_texts(part)]
     sizes = np.array([len(w) for w in words], dtype=np.int64)
     keys = np.stack([part.column("k1").to_numpy(), part.column("k2").to_numpy()], axis=1).astype("<i8")
-    slice_id = xxh64_intdigest(keys.tobytes()) - (1 << 63)
+    slice_id = xxh64_intdigest(keys.tobytes()) // 2
     if not sizes.sum():
         return None
     ends = np.cumsum(sizes)
@@ -204,24 +211,50 @@ def _send_anchors(batches, buckets: int, window: int):
             yield from by_bucket(name % np.uint64(buckets), buckets, slice_id, {"keys": None}, docs=text.astype("<u2"), high=(name >> np.uint64(16)).astype("<u4"), low=name.astype("<u2"))
 
 
-def _answer_anchors(batches):
+def _asked(rows):
+    """(slice, texts, names) of the rows of names, and the slices' keys."""
     import numpy as np
 
-    for _, rows in runs(batches, "bucket", ["slice", "keys", "docs", "high", "low"]):
-        asked = []
-        for slice_id, keys, docs, high, low in rows:
-            if keys is not None:
-                yield _answer(slice_id, keys, None, None)
-            else:
-                name = np.frombuffer(high, "<u4").astype(np.uint64) << np.uint64(16) | np.frombuffer(low, "<u2")
-                asked.append((slice_id, np.frombuffer(docs, "<u2"), name))
+    asked, keyed = [], []
+    for slice_id, keys, docs, high, low in rows:
+        if keys is not None:
+            keyed.append((slice_id, keys))
+        elif slice_id != SHARED:
+            name = np.frombuffer(high, "<u4").astype(np.uint64) << np.uint64(16) | np.frombuffer(low, "<u2")
+            asked.append((slice_id, np.frombuffer(docs, "<u2"), name))
+    return asked, keyed
+
+
+def _find_shared(batches):
+    """The names in each bucket that at least two rows sent: a row (bucket, n, high, low) for each bucket with any."""
+    import numpy as np
+    import pyarrow as pa
+
+    for bucket, rows in runs(batches, "bucket", ["slice", "keys", "docs", "high", "low"]):
+        asked, _ = _asked(rows)
         if not asked:
             continue
         every = np.sort(np.concatenate([x[2] for x in asked]))
         shared = np.unique(every[1:][every[1:] == every[:-1]])
+        if len(shared):
+            blobs = ((shared >> np.uint64(16)).astype("<u4").tobytes(), shared.astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([len(shared)], pa.int64()), *(pa.array([x], pa.binary()) for x in blobs)], names=["bucket", "n", "high", "low"])
+
+
+def _answer_anchors(batches):
+    """Sends the shared names back to the slices that asked for them."""
+    import numpy as np
+
+    for _, rows in runs(batches, "bucket", ["slice", "keys", "docs", "high", "low"]):
+        asked, keyed = _asked(rows)
+        for slice_id, keys in keyed:
+            yield _answer(slice_id, keys, None, None)
+        told = next(((high, low) for slice_id, keys, docs, high, low in rows if slice_id == SHARED and docs is None and keys is None), None)
+        if told is None:
+            continue
+        shared = np.frombuffer(told[0], "<u4").astype(np.uint64) << np.uint64(16) | np.frombuffer(told[1], "<u2")
         for slice_id, docs, name in asked:
-            at = np.searchsorted(shared, name)
-            found = np.append(shared, np.uint64(0))[at] == name if len(shared) else np.zeros(len(name), dtype=bool)
+            found = np.append(shared, np.uint64(0))[np.searchsorted(shared, name)] == name
             if found.any():
                 yield _answer(slice_id, None, docs[found].tobytes(), name[found].astype("<u8").tobytes())
 
@@ -251,7 +284,19 @@ def _to_rows(batches, width: str):
         yield pa.RecordBatch.from_arrays([pa.array(keys[own, 0]), pa.array(keys[own, 1]), pa.array(blobs, pa.binary())], names=["k1", "k2", "found"])
 
 
-def _send_windows(batches, buckets: int, window: int):
+def _filter(shared: DataFrame):
+    """A bitmap of FILTER_BITS that has the shared names' bits set."""
+    import numpy as np
+
+    bits = np.zeros(FILTER_BITS, dtype=bool)
+    for row in shared.select("high", "low").toLocalIterator():
+        name = np.frombuffer(row["high"], "<u4").astype(np.uint64) << np.uint64(16) | np.frombuffer(row["low"], "<u2")
+        bits[(name % np.uint64(FILTER_BITS)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def _send_windows(batches, buckets: int, window: int, told=None):
+    """told: the broadcast bitmap of shared anchors; without it the rows carry their own shared anchors in `found`."""
     import numpy as np
 
     for batch in batches:
@@ -261,10 +306,14 @@ def _send_windows(batches, buckets: int, window: int):
                 continue
             x, bounds, text, begins, keys, slice_id = got
             name, has, whole = anchors(x, bounds, window)
-            told = [np.frombuffer(v, "<u8") for v in part.column("found").to_pylist() if v is not None]
-            shared = np.unique(np.concatenate(told)) if told else np.zeros(0, dtype=np.uint64)
             short = name >> np.uint64(16)
-            known = np.append(shared, np.uint64(0))[np.searchsorted(shared, short)] == short if len(shared) else np.zeros(len(x), dtype=bool)
+            if told is not None:
+                place = short % np.uint64(FILTER_BITS)
+                known = (told.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool) & has
+            else:
+                shared = [np.frombuffer(v, "<u8") for v in part.column("found").to_pylist() if v is not None]
+                shared = np.unique(np.concatenate([*shared, np.zeros(1, dtype=np.uint64)]))
+                known = (np.append(shared, np.uint64(0))[np.searchsorted(shared, short)] == short) & has
             at = np.nonzero(whole & (known | ~has))[0]
             if not len(at):
                 continue
@@ -336,20 +385,29 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     buckets = bucket_count(docs)
     answers = "slice long, keys binary, docs binary, values binary"
 
+    sends = "bucket int, slice long, keys binary, docs binary, high binary, low binary"
+    sends_windows = "bucket int, slice long, keys binary, docs binary, ids binary, places binary, high binary, low binary"
+
+    def dealt(sent: DataFrame) -> DataFrame:
+        return sent.repartition("bucket").sortWithinPartitions("bucket", "slice")
+
     def told(sent: DataFrame, answer, width: str) -> DataFrame:
-        dealt = sent.repartition("bucket").sortWithinPartitions("bucket", "slice")
-        back = dealt.mapInArrow(answer, answers).repartition("slice").sortWithinPartitions("slice")
+        back = dealt(sent).mapInArrow(answer, answers).repartition("slice").sortWithinPartitions("slice")
         each = back.mapInArrow(lambda b: _to_rows(b, width), "k1 long, k2 long, found binary")
         return each.groupBy("k1", "k2").agg(F.first("found").alias("found"))  # rows that are alike got the same answer
 
-    sent = rows.select("k1", "k2", "text").mapInArrow(
-        lambda b: _send_anchors(b, buckets, window), "bucket int, slice long, keys binary, docs binary, high binary, low binary"
-    )
-    with_shared = rows.select("k1", "k2", "text").join(told(sent, _answer_anchors, "<u8"), ["k1", "k2"], "left")
-    sent = with_shared.sortWithinPartitions("k1", "k2").mapInArrow(
-        lambda b: _send_windows(b, buckets, window),
-        "bucket int, slice long, keys binary, docs binary, ids binary, places binary, high binary, low binary",
-    )
+    plain = rows.select("k1", "k2", "text")
+    sent = plain.mapInArrow(lambda b: _send_anchors(b, buckets, window), sends)
+    shared = Scratch(docs.sparkSession).keep(dealt(sent).mapInArrow(_find_shared, "bucket int, n long, high binary, low binary"), "shared")
+    n = shared.agg(F.sum("n")).first()[0] or 0
+    if n <= FILTER_NAMES:  # the bitmap's size is fixed, and its false positives cost only windows sent in vain
+        bitmap = docs.sparkSession.sparkContext.broadcast(_filter(shared))
+        sent = plain.mapInArrow(lambda b: _send_windows(b, buckets, window, bitmap), sends_windows)
+    else:
+        empty = F.lit(None).cast("binary")
+        asked = sent.unionAll(shared.select("bucket", F.lit(SHARED).cast("long").alias("slice"), empty.alias("keys"), empty.alias("docs"), "high", "low"))
+        with_shared = plain.join(told(asked, _answer_anchors, "<u8"), ["k1", "k2"], "left").sortWithinPartitions("k1", "k2")
+        sent = with_shared.mapInArrow(lambda b: _send_windows(b, buckets, window), sends_windows)
     with_places = rows.join(told(sent, _answer_windows, "<u4"), ["k1", "k2"], "left")
     return with_places.select("doc_id", "text", "found").mapInArrow(
         lambda b: _remove(b, window), "doc_id long, n_words long, n_removed long, kept string"
