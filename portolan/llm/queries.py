@@ -6,6 +6,7 @@ from .byte_bpe import op2_byte_bpe
 from .decontamination import op6_decontamination
 from .language_model import op4_lm_scoring
 from .licenses import op3_license_scan
+from .personal_data import op8_personal_data
 from .quality_rules import OP10_SQL, op10_quality_rules
 from .sharding import op5_sharding
 from .simhash import op1_simhash
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_personal_data": op8_personal_data,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
