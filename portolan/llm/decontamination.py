@@ -167,11 +167,11 @@ def blocks(benchmark: DataFrame, item: str, text: str):
         yield held
 
 
-def _found(part, index: Index, key: int):
+def _found(part, index: Index):
     import numpy as np
 
-    if _NUMBERS.get("key") != key or len(_NUMBERS["numbers"]) > CACHE_ENTRIES:
-        _NUMBERS.update(key=key, numbers=Numbers(index.words))
+    if _NUMBERS.get("of") is not index or len(_NUMBERS["numbers"]) > CACHE_ENTRIES:
+        _NUMBERS.update(of=index, numbers=Numbers(index.words))
     words = [x.lower().split() for x in byte_texts(part)]
     sizes = np.array([len(w) for w in words], dtype=np.int64)
     begins = np.cumsum(sizes) - sizes
@@ -187,16 +187,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     kinds = (rows.schema["key"].dataType.simpleString(), benchmark.schema[item].dataType.simpleString())
     schema = f"key {kinds[0]}, item {kinds[1]}, distance int, budget int, first_word int, end_word int"
     out = None
-    for number, block in enumerate(blocks(benchmark, item, item_text)):
-        told = spark.sparkContext.broadcast((number, Index(block, error_rate)))
+    for block in blocks(benchmark, item, item_text):
+        told = spark.sparkContext.broadcast(Index(block, error_rate))
 
         def batches(parts, told=told):
             import pyarrow as pa
 
             for batch in parts:
                 for part in slices(batch):
-                    number, index = told.value
-                    found = sorted(_found(part, index, number))
+                    index = told.value
+                    found = sorted(_found(part, index))
                     if found:
                         t, k, *rest = zip(*found)
                         item_ids = pa.array([index.ids[i] for i in k], schema_item(kinds[1]))
@@ -220,8 +220,8 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "tex
     """The rows of docs in which no item matches, with all their columns."""
     spark = docs.sparkSession
     out = docs
-    for number, block in enumerate(blocks(benchmark, item, item_text)):
-        told = spark.sparkContext.broadcast((number, Index(block, error_rate)))
+    for block in blocks(benchmark, item, item_text):
+        told = spark.sparkContext.broadcast(Index(block, error_rate))
 
         def batches(parts, told=told):
             import numpy as np
@@ -229,10 +229,10 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "tex
 
             for batch in parts:
                 for part in slices(batch, text):
-                    number, index = told.value
+                    index = told.value
                     clean = np.ones(part.num_rows, dtype=bool)
                     one = pa.RecordBatch.from_arrays([part.column(text)], names=["text"])
-                    clean[[m[0] for m in _found(one, index, number)]] = False
+                    clean[[m[0] for m in _found(one, index)]] = False
                     yield part.filter(pa.array(clean))
 
         out = out.mapInArrow(batches, docs.schema)
