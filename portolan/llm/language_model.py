@@ -18,11 +18,12 @@ whatever their names, aren't read; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_texts, slices, table
+from .common import Scratch, slices, table
 from .packed import bucket_count, by_bucket, pack, runs
 
 CLASSES = 64
@@ -41,32 +42,71 @@ FAN_IN = 64
 CACHE_ENTRIES = 400_000
 END = b"\n"  # no word has a white space
 
-_NAMES: dict = {}
+class Vocabulary(dict):
+    """A worker's tokens, numbered as they come; a token's name is a hash whose lowest bits are the token's class.
 
+    Whatever depends on a token's name only is kept in tables by number, so it is looked up once a distinct token.
+    """
 
-class Names(dict):
-    """Token to name: a hash whose lowest bits are the token's class."""
+    def __init__(self):
+        self.forget()
+
+    def forget(self) -> None:
+        import numpy as np
+
+        self.clear()
+        self.fresh: list[int] = []
+        self.names = np.zeros(0, dtype=np.uint64)
+        self.owner, self.tables = None, {}
 
     def __missing__(self, token: bytes) -> int:
         from xxhash import xxh64_intdigest
 
         last = token.rstrip(b".,;:!?")[-1:] or b"@"
         form = last[0] % 32 + 32 * (not token.isascii())
-        self[token] = name = xxh64_intdigest(token, 11) // CLASSES * CLASSES + form
-        return name
+        self.fresh.append(xxh64_intdigest(token, 11) // CLASSES * CLASSES + form)
+        self[token] = n = len(self)
+        return n
 
+    def numbers(self, texts):
+        """(numbers, tokens in each text) of an Arrow column of texts, lower-cased (A-Z), each ended; null is empty.
 
-def token_names(texts: list[bytes]):
-    """(names, tokens in each text) of the lower-cased (A-Z) texts, each ended."""
-    import numpy as np
+        Arrow splits at ASCII white space and finds the distinct words, so that only these are looked up.
+        """
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if len(self) > CACHE_ENTRIES:
+            self.forget()
+        trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+        words = pc.ascii_split_whitespace(trimmed)
+        sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes[pc.equal(trimmed, "").to_numpy(zero_copy_only=False)] = 0  # splitting gives one empty word
+        flat = words.flatten()
+        flat = flat.filter(pc.not_equal(flat, "")).dictionary_encode()
+        distinct = np.fromiter(map(self.__getitem__, flat.dictionary.cast(pa.binary()).to_pylist()), dtype=np.int64, count=len(flat.dictionary))
+        numbers = distinct[flat.indices.to_numpy(zero_copy_only=False)]
+        numbers = np.insert(numbers, np.cumsum(sizes), self[END])
+        if self.fresh:
+            self.names = np.concatenate([self.names, np.array(self.fresh, dtype=np.uint64)])
+            self.fresh = []
+        return numbers, sizes + 1
+
+    def table(self, owner: str, which: str, make):
+        """make(names) for all names so far; made for new names only. Tables of another owner are dropped."""
+        import numpy as np
+
+        if self.owner != owner:
+            self.owner, self.tables = owner, {}
+        old = self.tables.get(which)
+        if old is None or len(old) < len(self.names):
+            more = make(self.names[0 if old is None else len(old) :])
+            self.tables[which] = more if old is None else np.concatenate([old, more])
+        return self.tables[which]
 
-    names = _NAMES.setdefault("names", Names())
-    if len(names) > CACHE_ENTRIES:
-        names.clear()
-    words = [x.lower().split() for x in texts]
-    sizes = np.array([len(w) + 1 for w in words], dtype=np.int64)
-    flat = [w for ws in words for w in (*ws, END)]
-    return np.fromiter(map(names.__getitem__, flat), dtype=np.uint64, count=len(flat)), sizes
+
+_VOCABULARY = Vocabulary()
 
 
 def add_up(names, counts):
@@ -96,8 +136,10 @@ def count_tokens(train: DataFrame, buckets: int) -> DataFrame:
 
         for batch in batches:
             for part in slices(batch):
-                names, _ = token_names(byte_texts(part))
-                names, counts = np.unique(names, return_counts=True)
+                numbers, _ = _VOCABULARY.numbers(part.column("text"))
+                counts = np.bincount(numbers)
+                own = np.nonzero(counts)[0]
+                names, counts = _VOCABULARY.names[own], counts[own]
                 yield from by_bucket((names // np.uint64(CLASSES)) % np.uint64(buckets), buckets, 0, names=names, counts=counts.astype("<u4"))
 
     def receive(batches):
@@ -255,7 +297,7 @@ class Trainer:
         self.model, self.rng = model, np.random.default_rng(seed)
         self.log_noise = np.log(noise * NOISE).astype(np.float32)
         self.edges = np.cumsum(noise)
-        self.squares = [np.full(x.shape, 1e-2, dtype=np.float32) for x in model.arrays()]
+        self.squares = [np.full(x.shape, 1e-4, dtype=np.float32) for x in model.arrays()]
         self.seen = 0
 
     def step(self, context, target) -> None:
@@ -263,32 +305,48 @@ class Trainer:
 
         m, n = self.model, len(self.model.bias)
         drawn = np.minimum(np.searchsorted(self.edges, self.rng.random(NOISE)), n - 1)
-        h = m.hidden(context)
-        right = m.right[target]
-        true = np.einsum("ij,ij->i", h, right) + m.bias[target] - self.log_noise[target]
-        false = h @ m.right[drawn].T + (m.bias - self.log_noise)[drawn]
-        up = 1 / (1 + np.exp(np.clip(true, -30, 30)))  # 1 - sigmoid
-        down = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
-        gh = up[:, None] * right + down @ m.right[drawn]
-        gright = np.zeros_like(m.right)
-        gbias = np.bincount(target, up, n) + np.bincount(drawn, down.sum(axis=0), n)
-        np.add.at(gright, drawn, down.T @ h)
-        gleft = np.zeros_like(m.left)
-        gposition = np.zeros_like(m.position)
-        pushed = up[:, None] * h
-        for d in range(WIDTH):
-            gright[:, d] += np.bincount(target, pushed[:, d], n)
-        for i in range(CONTEXT):
-            gposition[i] = (gh * m.left[context[:, i]]).sum(axis=0)
-            pulled = gh * m.position[i]
-            for d in range(WIDTH):
-                gleft[:, d] += np.bincount(context[:, i], pulled[:, d], n + 1)
-        for x, g, q in zip(m.arrays(), (gleft, gright, gposition, gbias.astype(np.float32)), self.squares):
-            g /= len(target)
-            q += g * g
-            x += RATE * g / np.sqrt(q)
+        left = [m.left[context[:, i]] for i in range(CONTEXT)]
+        h = sum(m.position[i] * left[i] for i in range(CONTEXT))
+        right, noise = m.right[target], m.right[drawn]
+        up = np.einsum("ij,ij->i", h, right)
+        up += (m.bias - self.log_noise)[target]
+        up = 1 / (1 + np.exp(np.minimum(up, 30)))  # 1 - sigmoid
+        down = h @ noise.T
+        down += (m.bias - self.log_noise)[drawn]
+        np.minimum(down, 30, out=down)
+        np.negative(down, out=down)
+        np.exp(down, out=down)
+        down += 1
+        np.divide(-1, down, out=down)
+        gh = up[:, None] * right
+        gh += down @ noise
+        rate = 1 / len(target)
+        self.update(1, 3, np.concatenate([target, drawn]), np.concatenate([up[:, None] * h, down.T @ h]), np.concatenate([up, down.sum(axis=0)]), rate)
+        push = np.concatenate([gh * m.position[i] for i in range(CONTEXT)])
+        gposition = np.stack([(gh * left[i]).sum(axis=0) for i in range(CONTEXT)])
+        self.update(0, None, np.concatenate([context[:, i] for i in range(CONTEXT)]), push, None, rate)
+        self.climb(m.position, self.squares[2], slice(None), gposition * rate)
         self.seen += len(target)
 
+    def update(self, table: int, bias: int | None, rows, push, more, rate: float) -> None:
+        """Adds up the gradients of equal rows and climbs by them."""
+        import numpy as np
+
+        order = np.argsort(rows)
+        rows = rows[order]
+        first = np.nonzero(np.append(True, rows[1:] != rows[:-1]))[0]
+        own, arrays = rows[first], self.model.arrays()
+        self.climb(arrays[table], self.squares[table], own, np.add.reduceat(push[order], first, axis=0) * np.float32(rate))
+        if bias is not None:
+            self.climb(arrays[bias], self.squares[bias], own, np.add.reduceat(more[order], first) * np.float32(rate))
+
+    @staticmethod
+    def climb(x, squares, rows, gradient) -> None:
+        import numpy as np
+
+        squares[rows] += gradient * gradient
+        x[rows] += RATE * gradient / np.sqrt(squares[rows])
+
 
 def train(docs: DataFrame, stats: Statistics) -> Model:
     """The model after ROUNDS over (share, text) rows, share from 0 to 15."""
@@ -300,21 +358,21 @@ def train(docs: DataFrame, stats: Statistics) -> Model:
         return model
     begin = 0
     for round_, share in enumerate(ROUNDS):
-        told = spark.sparkContext.broadcast((stats.symbol_names, stats.noise, model.vector()))
+        told = spark.sparkContext.broadcast((uuid4().hex, stats.symbol_names, stats.noise, model.vector()))
 
         def learn(batches, told=told, round_=round_):
             import pyarrow as pa
             from pyspark import TaskContext
 
-            names, noise, vector = told.value
+            owner, names, noise, vector = told.value
             own = object.__new__(Statistics)
             own.symbol_names = names
             part = TaskContext.get().partitionId()
             trainer = Trainer(Model(noise).load(vector), noise, 1000 * round_ + part)
             for batch in batches:
                 for rows in slices(batch):
-                    tokens, sizes = token_names(byte_texts(rows))
-                    target = own.symbols(tokens)
+                    tokens, sizes = _VOCABULARY.numbers(rows.column("text"))
+                    target = _VOCABULARY.table(owner, "symbols", own.symbols)[tokens]
                     context = contexts(target, sizes, len(noise))
                     order = trainer.rng.permutation(len(target))
                     for a in range(0, len(order), MINIBATCH):
@@ -328,7 +386,7 @@ def train(docs: DataFrame, stats: Statistics) -> Model:
         begin += share
         learnt = used.mapInArrow(learn, "part long, n long, body binary")
         learnt = averaged(learnt, used.rdd.getNumPartitions())
-        rows = learnt.orderBy("part").collect()  # FAN_IN rows at most
+        rows = sorted(learnt.collect(), key=lambda r: r["part"])  # FAN_IN rows at most
         n = sum(r["n"] for r in rows)
         if n:
             model.load((sum(np.frombuffer(r["body"], np.float64) for r in rows) / n).astype(np.float32))
@@ -360,7 +418,7 @@ def averaged(learnt: DataFrame, parts: int) -> DataFrame:
 def score(docs: DataFrame, stats: Statistics, counted: DataFrame, model: Model, buckets: int, key: str) -> DataFrame:
     """(key, n_tokens, n_known, base, lm) for rows (key, text): base is the sum of log10(c + 0.5), lm the model's log10."""
     spark = docs.sparkSession
-    told = spark.sparkContext.broadcast((stats.names, stats.counts, stats.symbol_names, stats.class_total, stats.class_kinds, stats.noise, model.vector()))
+    told = spark.sparkContext.broadcast((uuid4().hex, stats.names, stats.counts, stats.symbol_names, stats.class_total, stats.class_kinds, stats.noise, model.vector()))
     kind = docs.schema[key].dataType.simpleString()
 
     def send(batches):
@@ -369,25 +427,35 @@ def score(docs: DataFrame, stats: Statistics, counted: DataFrame, model: Model,
         from pyspark import TaskContext
 
         own = object.__new__(Statistics)
-        names_, counts_, own.symbol_names, class_total, class_kinds, noise, vector = told.value
+        owner, names_, counts_, own.symbol_names, class_total, class_kinds, noise, vector = told.value
         model = Model(noise).load(vector)
         logs = np.log10(counts_ + 0.5)
         share = np.log10(class_total + 0.5 * (class_kinds + 1))
         slice_id = TaskContext.get().partitionId() << 32
+
+        def log_count(names):  # NaN: not in the table
+            out = np.full(len(names), np.nan)
+            if len(names_):
+                at = np.minimum(np.searchsorted(names_, names), len(names_) - 1)
+                known = names_[at] == names
+                out[known] = logs[at[known]]
+            return out
+
+        def log_share(names):  # of the class, 0 for symbols of their own
+            symbol = own.symbols(names)
+            return np.where(symbol < CLASSES, share[np.minimum(symbol, CLASSES - 1)], 0)
+
         for batch in batches:
             for part in slices(batch):
-                names, sizes = token_names(byte_texts(part))
+                tokens, sizes = _VOCABULARY.numbers(part.column("text"))
                 text = np.repeat(np.arange(len(sizes)), sizes)
-                symbol = own.symbols(names)
+                symbol = _VOCABULARY.table(owner, "symbols", own.symbols)[tokens]
+                log = _VOCABULARY.table(owner, "logs", log_count)[tokens]
+                minus = _VOCABULARY.table(owner, "shares", log_share)[tokens]
                 lm = model.log_probabilities(contexts(symbol, sizes, len(noise)), symbol) / math.log(10)
-                frequent = np.zeros(len(names), dtype=bool)
-                base = np.zeros(len(names))
-                if len(names_):
-                    at = np.minimum(np.searchsorted(names_, names), len(names_) - 1)
-                    frequent = names_[at] == names
-                    base[frequent] = logs[at[frequent]]
-                classed = symbol < CLASSES
-                lm = lm + np.where(classed, base - share[np.minimum(symbol, CLASSES - 1)], 0)
+                rare = np.isnan(log)
+                frequent, base = ~rare, np.where(rare, 0, log)
+                lm = lm + np.where(symbol < CLASSES, base - minus, 0)
                 n = len(sizes)
                 sums = [np.bincount(text, w, n) for w in (frequent, base, lm)]
                 slice_id += 1
@@ -396,9 +464,8 @@ def score(docs: DataFrame, stats: Statistics, counted: DataFrame, model: Model,
                 with pa.ipc.new_stream(sink, doc_rows.schema) as w:
                     w.write_table(doc_rows)
                 yield pack(slice_id, slice_id % buckets, keys=np.frombuffer(sink.getvalue(), np.uint8), docs=None, names=None, counts=None)
-                rare = ~frequent
                 if rare.any():
-                    names = names[rare]
+                    names = _VOCABULARY.names[tokens[rare]]
                     yield from by_bucket((names // np.uint64(CLASSES)) % np.uint64(buckets), buckets, slice_id, {"keys": None}, docs=text[rare].astype("<u2"), names=names, counts=np.zeros((len(names), 0), np.uint8))
 
     def answer(batches):
