@@ -8,8 +8,8 @@ words cover MIN_COVERAGE of the template, with the words' and characters' spans.
 
 The index holds the templates only, so its size is that of the list of templates and it is sent to every worker.
 
-Defined results: null and empty texts match nothing; a template with fewer than K words is refused; passages of one
-template that overlap are reported once, the best first; null doc_ids and repeated rows are rows like any other; other
+Defined results: null and empty texts match nothing; a template with fewer than K words is refused; of passages that
+overlap the one with the best coverage is reported, then the longest; null doc_ids and repeated rows are rows like any other; other
 columns, whatever their names, aren't read; empty tables give empty results.
 """
 
@@ -154,7 +154,7 @@ class Templates:
         return np.unique(np.stack([text[place], self.which[entry], place - self.place[entry]], axis=1), axis=0) if len(entry) else np.zeros((0, 3), np.int64)
 
     def matches(self, x, bounds, begins, sizes, text, least: float = MIN_COVERAGE):
-        """(text, template, matched, first word, end word), spans of one template in a text apart from each other."""
+        """(text, template, matched, first word, end word), a text's spans apart from each other."""
         words = x.tolist()
         found: dict = {}
         last = (-1, -1, 0)
@@ -169,14 +169,14 @@ class Templates:
             off = max(begin, diagonal - band)
             matched, first, end = align(template, own, diagonal - off, band)
             if matched >= least * len(template):
-                found.setdefault((t, k), []).append((matched, first + off - begin, end + off - begin))
+                found.setdefault(t, []).append((matched / len(template), matched, first + off - begin, end + off - begin, k))
         out = []
-        for (t, k), spans in found.items():
+        for t, spans in found.items():
             taken: list = []
-            for m, a, b in sorted(spans, key=lambda s: (-s[0], s[1])):
-                if all(b <= c or a >= d for _, c, d in taken):
-                    taken.append((m, a, b))
-            out += [(t, k, *s) for s in taken]
+            for share, m, a, b, k in sorted(spans, key=lambda s: (-s[0], -s[1], s[2:])):
+                if all(b <= c or a >= d for c, d in taken):
+                    taken.append((a, b))
+                    out.append((t, k, m, a, b))
         return sorted(out)
 
 

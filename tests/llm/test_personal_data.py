@@ -1,0 +1,98 @@
+"""Personal data: base spans against plain regular expressions, the weak supervision, and redaction."""
+
+import collections
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from portolan.llm import personal_data as pii
+
+SCHEMA = "doc_id long, text string"
+PLAIN = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+]
+
+
+def luhn(digits):
+    return sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
+def base(text):
+    found = []
+    for k, (kind, pattern) in enumerate(PLAIN):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": kind != "ip" or all(int(p) <= 255 for p in m[0].split(".")), "card": 12 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            if ok:
+                found.append((m.start(), k, m.end()))
+    return sorted(found)
+
+
+def fixture():
+    rng = random.Random(3)
+    kinds = [
+        ["a", "b", "@", ".", "..", "-", "1", "23", "456", "0", "+", " ", "(", ")", "é", "😀", "4111111111111111", "255", "300", "007"],
+        ["1", "2", " ", "-", "9", ".", "+", "  "], ["a", "@", ".", "c", "-"], ["1", "0", "25", ".", "6"], ["+1", "(", ")", " ", "555", "-", "."],
+    ]
+    texts = ["".join(rng.choice(k) for _ in range(rng.randrange(70))) for k in kinds for _ in range(400)]
+    return list(enumerate([*texts, None, "", "a@b.c..d@e.f", "x@y@b.com", "1.2.3.4.5.6.7.8", "4111 1111-1111 1111", "4111  1111 1111 1111"]))
+
+
+
+def test_base_spans_by_brute_force(spark):
+    rows = fixture()
+    rows += rows[:3] + [(None, "me@x.org")]
+    got = pii.personal_data(spark.createDataFrame(rows, SCHEMA).repartition(3)).select("row.doc_id", "row.text", "base", "spans").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert [tuple(s) for s in r.base] == base(r.text), r.text
+        assert set(r.base) <= set(r.spans)
+
+
+def test_long_texts(spark):
+    long = ["a" * 300_000, "1" * 300_000, "1 " * 200_000, "a@b" + ".c" * 100_000, "a.b@c.d " * 3_000, "+1" * 100_000, "a@" * 100_000, "password=" * 20_000]
+    got = pii.personal_data(spark.createDataFrame(list(enumerate(long)), SCHEMA)).select("row.doc_id", F.size("base").alias("n")).collect()
+    assert {r.doc_id: r.n for r in got} == {0: 0, 1: 0, 2: 0, 3: 1, 4: 3_000, 5: 0, 6: 0, 7: 0}
+
+
+def test_added_spans(spark):
+    base_rows = [(i, f"write to user{i}@mail.com or +1 (212) 555-{1000 + i} from 10.{i}.3.4 now") for i in range(40)]
+    more = [(100 + i, f"and password=abc{i}def9 there") for i in range(20)] + [(200 + i, f"call 212-555-{1000 + i} soon") for i in range(10)]
+    clean = [(300 + i, f"version {i}.2 of the report has 1200 pages, see section 4.{i}") for i in range(20)]
+    out = pii.personal_data(spark.createDataFrame(base_rows + more + clean, SCHEMA)).select("row.doc_id", pii.listed("spans").alias("s")).collect()
+    by = {r.doc_id: r.s for r in out}
+    assert all("secret:4:" in by[100 + i] for i in range(20)) and all("local_phone:5:" in by[200 + i] for i in range(10))
+    assert all(by[300 + i] == "" for i in range(20))
+    kinds = collections.Counter(x.split(":")[0] for i in range(40) for x in by[i].split(","))
+    assert kinds == {"email": 40, "phone": 40, "ip": 40}
+
+
+def test_expectation_maximisation_finds_bad_labelers():
+    rng = random.Random(8)
+    counts = collections.Counter()
+    for _ in range(4000):
+        true = rng.random() < 0.5
+        vote = lambda good: "+" if (rng.random() < good) == true else "-"
+        counts[5, vote(0.95) + vote(0.9) + vote(0.5) + vote(0.85) + "0"] += 1
+    counts[0, "++0++"] = 500
+    p = pii.Reliabilities(dict(counts)).believed
+    assert p[5, "++-+0"] > 0.95 and p[5, "--+-0"] < 0.05
+
+
+def test_redaction(spark):
+    df = spark.createDataFrame(
+        [(1, "mail bo@x.com or +1 (212) 555-1234, card 4111 1111 1111 1111.", "en"), (2, None, None), (None, "", "x"), (3, "çé none", "y")], "doc_id long, text string, spans string"
+    )
+    got = {r.doc_id: r.text for r in pii.redacted(df).collect()}
+    assert got == {1: "mail <EMAIL> or <PHONE>, card <CARD>.", 2: None, None: "", 3: "çé none"}
+    assert pii.redacted(df).columns == df.columns and pii.redacted(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("limit", [0, 5])
+def test_native_plan(spark, limit):
+    df = spark.createDataFrame(fixture()[:50], SCHEMA).limit(limit)
+    plan = pii.personal_data(df)._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
