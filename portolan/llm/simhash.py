@@ -78,35 +78,40 @@ def fingerprints(docs: DataFrame, keys: list[str], text: str, width: int, seed:
 
 def _forest(a, b, radius: int, same: bool):
     """Spanning forest of the links within radius between fingerprint arrays a and b (a and a if same), as index pairs
-    of the concatenation of a and b."""
+    of the concatenation of a and b; the nearest links of a block are taken first."""
     import numpy as np
 
     n = len(a) if same else len(a) + len(b)
     off = 0 if same else len(a)
     root = np.arange(n)
     kept: list = []
+    levels = range(radius, -1, -max(1, radius // 4))[::-1]
     for i in range(0, len(a), BLOCK):
         for j in range(i if same else 0, len(b), BLOCK):
             apart = sum(np.bitwise_count(a[i : i + BLOCK, None, k] ^ b[None, j : j + BLOCK, k]) for k in range(a.shape[1]))
-            near = apart <= radius
-            x, y = np.nonzero(near)
-            x, y = x + i, y + j + off
-            while len(x):
-                rx, ry = root[x], root[y]
-                open_ = rx != ry
-                if not open_.any():
-                    break
-                x, y, rx, ry = x[open_], y[open_], rx[open_], ry[open_]
-                hi, lo = np.maximum(rx, ry), np.minimum(rx, ry)
-                # each root takes one link to a smaller root: a forest, since roots only ever point down
-                hi, first = np.unique(hi, return_index=True)
-                kept.append(np.stack([x[first], y[first]]))
-                root[hi] = lo[first]
-                while True:
-                    up = root[root]
-                    if (up == root).all():
+            every = np.stack(np.nonzero(apart <= radius))
+            if not every.size:
+                continue
+            far = apart[every[0], every[1]]
+            for level in levels:
+                x, y = every[:, far <= level]
+                x, y = x + i, y + j + off
+                while len(x):
+                    rx, ry = root[x], root[y]
+                    open_ = rx != ry
+                    if not open_.any():
                         break
-                    root = up
+                    x, y, rx, ry = x[open_], y[open_], rx[open_], ry[open_]
+                    hi, lo = np.maximum(rx, ry), np.minimum(rx, ry)
+                    # each root takes one link to a smaller root: a forest, since roots only ever point down
+                    hi, first = np.unique(hi, return_index=True)
+                    kept.append(np.stack([x[first], y[first]]))
+                    root[hi] = lo[first]
+                    while True:
+                        up = root[root]
+                        if (up == root).all():
+                            break
+                        root = up
     return np.concatenate(kept, axis=1) if kept else np.zeros((2, 0), dtype=np.int64)
 
 
@@ -213,15 +218,61 @@ def hexed(lanes: int):
     return F.concat(*[F.lpad(F.lower(F.hex(f"fp{i}")), 16, "0") for i in range(lanes)])
 
 
-def near_duplicates(docs: DataFrame, keys: list[str], text: str = "text", width: int = 3, radius: int = 2, lanes: int = 1, unique: bool = False) -> DataFrame:
+def verified(edges: DataFrame, ids: DataFrame, docs: DataFrame, keys: list[str], text: str, width: int, least: float) -> DataFrame:
+    """The edges whose texts' shingle sets have a Jaccard similarity of `least` at least.
+
+    ids: (fingerprint, keys) of the text that stands for each fingerprint. The texts of the edges' ends are brought together
+    by edge: as many as there are edges, however large a group is.
+    """
+    ends = edges.distinct().select("a", "b", F.explode(F.array("a", "b")).alias("fingerprint")).join(ids, "fingerprint").select(*keys, "a", "b")
+    texts = docs.select(*keys, F.col(text).alias("text")).join(ends, keys).select("a", "b", F.xxhash64(*keys).alias("key"), "text")
+    dealt = texts.repartition("a", "b").sortWithinPartitions("a", "b", "key")
+
+    def judge(batches):
+        import pyarrow as pa
+
+        def shingles(body: bytes) -> set:
+            words = words_of(body)
+            return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+        edge, sides = None, {}
+
+        def result():
+            x, y = (sides.values() if len(sides) == 2 else (set(), set()))
+            if len(sides) == 1 or len(x & y) >= least * len(x | y):  # one side: the ends' texts are the same
+                return pa.RecordBatch.from_arrays([pa.array([v]) for v in edge], names=["a", "b"])
+            return None
+
+        for batch in batches:
+            bodies = byte_texts(batch)
+            for a, b, key, body in zip(*(batch.column(i).to_pylist() for i in range(3)), bodies):
+                if (a, b) != edge:
+                    if edge and (out := result()):
+                        yield out
+                    edge, sides = (a, b), {}
+                if key not in sides:
+                    sides[key] = shingles(body)
+        if edge and (out := result()):
+            yield out
+
+    return dealt.mapInArrow(judge, "a string, b string")
+
+
+def near_duplicates(docs: DataFrame, keys: list[str], text: str = "text", width: int = 3, radius: int = 2, lanes: int = 1, unique: bool = False, least: float | None = None) -> DataFrame:
     """keys, fingerprint (hex) and least for each row; least is the smallest struct of keys (those with nulls last) of the
-    rows that links reach, itself included."""
+    rows that links reach, itself included. With `least`, links are held to that Jaccard similarity of the texts; the keys
+    must then be without nulls, and tell texts apart."""
     scratch = Scratch(docs.sparkSession)
     own = [f"fp{i}" for i in range(lanes)]
     marked = scratch.keep(fingerprints(docs, keys, text, width, lanes=lanes, unique=unique), "fingerprints")
     order = F.struct(*[x for k in keys for x in (F.col(k).isNull().alias(f"no_{k}"), F.col(k).alias(k))])
     ids = marked.groupBy(*own).agg(F.min(order).alias("least"))
-    found = components(links(ids, radius, lanes), "string")
+    edges = links(ids, radius, lanes)
+    if least is not None:
+        edges = scratch.keep(edges, "edges")
+        stand = ids.select(hexed(lanes).alias("fingerprint"), *[F.col("least")[k].alias(k) for k in keys])
+        edges = verified(edges, stand, docs, keys, text, width, least)
+    found = components(edges, "string")
     rooted = ids.select(hexed(lanes).alias("fingerprint"), "least").join(found, F.col("fingerprint") == F.col("node"), "left")
     rooted = scratch.keep(rooted.select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")), "rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("least"))

@@ -18,8 +18,9 @@ from .simhash import near_duplicates
 from .substrings import NO_ID
 
 #: Near-duplicate documents: 128-bit fingerprints of distinct five-word shingles. Two documents with a Jaccard similarity
-#: of 0.8 have a cosine of 0.889, so 19.4 of 128 bits are expected to differ; RADIUS leaves about one deviation more.
-SHINGLE, LANES, RADIUS = 5, 2, 24
+#: of 0.8 have a cosine of 0.889, so 19.4 of 128 bits are expected to differ, with a deviation of 4; RADIUS leaves two
+#: deviations. Links are then held to the texts' own similarity.
+SHINGLE, LANES, RADIUS, SIMILARITY = 5, 2, 28, 0.8
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k1"),
         F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("k2"), F.col("text"),
     )
-    found = near_duplicates(rows, ["k1", "k2"], width=SHINGLE, radius=RADIUS, lanes=LANES, unique=True)
+    found = near_duplicates(rows, ["k1", "k2"], width=SHINGLE, radius=RADIUS, lanes=LANES, unique=True, least=SIMILARITY)
     first = found.where((F.col("k1") == F.col("least.k1")) & (F.col("k2") == F.col("least.k2"))).select("k1", "k2").distinct()
     kept = rows.select("row", "k1", "k2").join(first, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -68,7 +68,10 @@ def test_stages(spark, corpus):
     assert plain(docs.select("doc_id", "text").collect()) == plain(want) and docs.columns == columns
     # near-dedup
     prints = [wide(r[1]) for r in want]
-    root = roots(len(want), [(i, j) for i in range(len(want)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= stages.RADIUS])
+    alike = lambda a, b: len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+    links = [(i, j) for i in range(len(want)) for j in range(i) if alike(want[i][1], want[j][1]) >= stages.SIMILARITY]
+    assert all((prints[i] ^ prints[j]).bit_count() <= stages.RADIUS for i, j in links)
+    root = roots(len(want), links)
     groups = collections.defaultdict(list)
     for r, k in zip(want, root):
         groups[k].append(r)
@@ -76,8 +79,7 @@ def test_stages(spark, corpus):
     docs = corpus_pipeline.STAGES[1][1](spark, docs, folder)
     assert plain(docs.select("doc_id", "text").collect()) == plain(want) and docs.columns == columns
     ids = {r[0] for r in want}
-    alike = lambda a, b: len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
-    near = {130 + i for i in range(15) if alike(rows[130 + i][1], rows[10 + i][1]) >= 0.9}
+    near = {130 + i for i in range(15) if alike(rows[130 + i][1], rows[10 + i][1]) >= stages.SIMILARITY}
     assert near and not ids & {*range(120, 130), *near} and {*range(60, 100)} <= ids  # copies and near copies go, others stay
     # decontamination
     budget = int(25 * 0.2)
