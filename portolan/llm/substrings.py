@@ -6,7 +6,10 @@ what they stand for, so every worker gives a run or pair the same name without a
 equal interior symbols. A symbol's support is the stretch of text that proves it: the symbol and the neighbours that
 decided its run and its pairing. A symbol whose support lies inside a window is there wherever the window's words are.
 
-Phrases, the shortest sequences of symbols with PHRASE words at least, are named one level higher. The phrase of least
+The next round does the same with the symbols that this one leaves. The wider the window, the more rounds leave symbols
+that it supports: one for 13 words, two from 32, three from 64.
+
+Phrases, the shortest sequences of the last round's symbols with PHRASE words at least, are named one level higher. The phrase of least
 name among those supported inside a window is the window's anchor; equal windows have equal anchors.
 Round 1 (Spark): anchors are dealt by name, and those that two rows share are told to all: by a bitmap of fixed size
 while they are few enough for it, else by sending them back to their rows.
@@ -93,51 +96,74 @@ def span_names(x, first, last, base: int):
     return mix((total[last] - total[first]) * down[first])
 
 
-def round_of_names(x, bounds):
-    """One round over the concatenated token names x of texts with the given bounds.
+class Symbols:
+    """Symbols of the concatenated texts in order: name, words start..end-1, support left..right-1, and text.
 
-    Returns the symbols' names, starts and ends, and the starts and ends of their supports, where a support that needs
-    what lies beyond its text reaches one place beyond the text.
+    A support that needs what lies beyond its text reaches one place beyond the text.
     """
+
+    def __init__(self, name, start, end, left, right, text):
+        self.name, self.start, self.end, self.left, self.right, self.text = name, start, end, left, right, text
+
+
+def tokens_as_symbols(x, bounds) -> Symbols:
     import numpy as np
 
-    n = len(x)
-    head = np.zeros(n + 1, dtype=bool)
-    head[bounds] = True
-    new = head[:n].copy()
-    new[1:] |= x[1:] != x[:-1]
-    s = np.nonzero(new)[0]  # runs
-    e = np.append(s[1:], n)
-    k = (e - s).astype(np.uint64)
-    name = np.where(k == 1, x[s], mix(mix(x[s]) + k))
-    left, right = s - 1, e + 1  # the neighbours' tokens tell that a run ends
-    starts, ends = head[s], head[e]  # first and last symbols of their texts
-    cls = (mix(name ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(63)).astype(bool)
-    pair = np.zeros(len(s), dtype=bool)
-    pair[:-1] = cls[:-1] & ~cls[1:] & ~ends[:-1]
-    second = np.zeros(len(s), dtype=bool)
+    at = np.arange(len(x))
+    return Symbols(x, at, at + 1, at, at + 1, np.searchsorted(bounds, at, side="right"))
+
+
+def next_round(symbols: Symbols, number: int) -> Symbols:
+    """One round of recompression: runs of equal symbols get names, then pairs of a left and a right one."""
+    import numpy as np
+
+    n = len(symbols.name)
+    new = np.ones(n, dtype=bool)
+    new[1:] = (symbols.name[1:] != symbols.name[:-1]) | (symbols.text[1:] != symbols.text[:-1])
+    at = np.nonzero(new)[0]
+    to = np.append(at[1:], n) - 1
+    k = (to - at + 1).astype(np.uint64)
+    start, end, text = symbols.start[at], symbols.end[to], symbols.text[at]
+    name = np.where(k == 1, symbols.name[at], mix(mix(symbols.name[at]) + k))
+    first, last = np.ones(len(at), dtype=bool), np.ones(len(at), dtype=bool)  # of their texts
+    first[1:] = last[:-1] = text[1:] != text[:-1]
+    # the neighbours tell that a run ends
+    left = np.where(first, start - 1, np.append(0, symbols.left[to[:-1]]))
+    right = np.where(last, end + 1, np.append(symbols.right[at[1:]], 0))
+    salt = np.uint64((0xA5A5A5A5A5A5A5A5 * (2 * number + 1)) % (1 << 64))
+    is_left = (mix(name ^ salt) >> np.uint64(63)).astype(bool)
+    pair, second = np.zeros(len(at), dtype=bool), np.zeros(len(at), dtype=bool)
+    pair[:-1] = is_left[:-1] & ~is_left[1:] & ~last[:-1]
     second[1:] = pair[:-1]
     # a single's class tells which neighbour might have paired with it
     alone = ~pair & ~second
-    after = np.append(right[1:], n + 1)
-    before = np.append(-1, left[:-1])
-    right = np.where(alone & cls & ~ends, after, right)
-    left = np.where(alone & ~cls & ~starts, before, left)
-    at = np.nonzero(~second)[0]
-    to = at + pair[at]
-    name = np.where(pair[at], mix(mix(name[at]) ^ (name[to] * np.uint64(3))), name[at])
-    return name, s[at], e[to], left[at], right[to]
-
-
-def anchors(x, bounds, window: int = WINDOW, phrase: int = PHRASE):
-    """(anchor, has): the anchor's name for the window that starts at each token, if it has one; windows that don't fit
-    into their text have none."""
+    after, before = np.append(right[1:], 0), np.append(0, left[:-1])
+    right = np.where(alone & is_left & ~last, after, right)
+    left = np.where(alone & ~is_left & ~first, before, left)
+    own = np.nonzero(~second)[0]
+    other = own + pair[own]
+    name = np.where(pair[own], mix(mix(name[own]) ^ (name[other] * np.uint64(3))), name[own])
+    return Symbols(name, start[own], end[other], left[own], right[other], text[own])
+
+
+def rounds_for(window: int) -> int:
+    """Rounds whose symbols still have their supports inside a window: one more for each doubling beyond 16 words."""
+    return max(1, (window // 8).bit_length() - 1)
+
+
+def anchors(x, bounds, window: int = WINDOW, phrase: int | None = None, rounds: int | None = None):
+    """(anchor, has, whole) for the window that starts at each token: its anchor's name, whether it has one, and whether the
+    window fits into its text. Windows of the same tokens have the same anchor or none."""
     import numpy as np
 
     n = len(x)
-    name, s, e, left, right = round_of_names(x, bounds)
+    phrase = phrase or max(1, window * PHRASE // WINDOW)
+    symbols = tokens_as_symbols(x, bounds)
+    for number in range(rounds or rounds_for(window)):
+        symbols = next_round(symbols, number)
+    name, s, e, left, right = symbols.name, symbols.start, symbols.end, symbols.left, symbols.right
     last = np.searchsorted(e, s + phrase)  # the symbol that makes the phrase long enough
-    text_end = np.append(bounds, n)[np.searchsorted(bounds, s, side="right")]
+    text_end = np.append(bounds, n)[symbols.text]
     fits = (last < len(e)) & (e[np.minimum(last, len(e) - 1)] <= text_end)
     last = np.minimum(last, len(e) - 1)
     own = span_names(name, np.arange(len(name)), last + 1, 0x9E3779B97F4A7C15)

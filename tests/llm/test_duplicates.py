@@ -125,20 +125,28 @@ def test_substring_dedup(spark, names, vocabulary, monkeypatch):
     assert collections.Counter(map(tuple, got.collect())) == plain_removal(rows)
 
 
+def test_substring_dedup_of_wider_windows(spark):
+    rows = texts(60, 9, 25)
+    got = substrings.substring_dedup(spark.createDataFrame(rows, SCHEMA), window=20)
+    assert collections.Counter(map(tuple, got.collect())) == plain_removal(rows, 20)
+
+
 def test_substring_dedup_of_nothing(docs):
     assert substrings.substring_dedup(docs.limit(0)).count() == 0
 
 
-def test_anchors_depend_on_the_window_only():
+@pytest.mark.parametrize("window, rounds", [(13, 1), (13, 2), (32, 2), (40, 3)])
+def test_anchors_depend_on_the_window_only(window, rounds):
     rng = np.random.default_rng(0)
     for kinds in (2, 3, 8, 100):
         cut = [rng.integers(0, kinds, rng.integers(1, 60)) for _ in range(60)]
-        cut += [np.concatenate([cut[rng.integers(60)], cut[i][5:40]]) for i in range(60)]
+        cut += [np.concatenate([cut[rng.integers(60)], cut[i][5:], cut[rng.integers(60)]]) for i in range(60)]
         x, sizes = np.concatenate(cut), np.array([len(c) for c in cut])
-        name, has, whole = substrings.anchors(substrings.mix(x.astype(np.uint64)), np.cumsum(sizes) - sizes)
+        name, has, whole = substrings.anchors(substrings.mix(x.astype(np.uint64)), np.cumsum(sizes) - sizes, window, None, rounds)
+        assert kinds < 100 or has[whole].mean() > (0.9 if rounds == substrings.rounds_for(window) else 0)
         seen = {}
         for i in np.nonzero(whole)[0]:
-            assert seen.setdefault(tuple(x[i : i + 13]), (name[i], has[i])) == (name[i], has[i])
+            assert seen.setdefault(tuple(x[i : i + window]), (name[i], has[i])) == (name[i], has[i])
 
 
 def test_sharding(docs, rows):
