@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import fulltext
 from .functions.json import cast_text, char_length, decrement_json, increment_json, json_bool, json_number, json_text
-from .functions.text import fold, similarity
+from .functions.text import fold, gram_table, keys_that_may_be_similar, similarity
 from .operators import aggregates as A
 from .operators import filters as W
 from .operators import history as H
@@ -261,6 +261,26 @@ def fold_text(spark, d):
     return load(spark, d, "documents").select("doc_id", fold(F.substring("text", 1, 200)).alias("folded"))
 
 
+@query(f"{_TOKENS} SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(ts) AS token FROM t) GROUP BY token")
+def fulltext_index(spark, d):
+    index = fulltext.token_table(load(spark, d, "documents"), "doc_id", "text")
+    return index.groupBy("token").agg(F.count("*").alias("n"), F.countDistinct("key").alias("docs"))
+
+
+@query(f"{_TOKENS} SELECT doc_id FROM t WHERE {_HAS.format('the')} AND {_HAS.format('license')}")
+def fulltext_index_lookup(spark, d):
+    docs = load(spark, d, "documents")
+    keys = fulltext.keys_with_every(fulltext.token_table(docs, "doc_id", "text"), ["the", "license"])
+    return docs.join(keys, F.col("doc_id") == F.col("key"), "left_semi").select("doc_id")
+
+
+@query(_SIMILAR + " SELECT p_partkey FROM s WHERE similarity >= 0.3")
+def trigram_index_lookup(spark, d):
+    parts = load(spark, d, "part")
+    keys = keys_that_may_be_similar(gram_table(parts, "p_partkey", "p_name"), "blue stel")
+    return parts.join(keys, F.col("p_partkey") == F.col("key"), "left_semi").where(W.similar("p_name", "blue stel")).select("p_partkey")
+
+
 # relations
 
 

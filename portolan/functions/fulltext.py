@@ -130,9 +130,11 @@ def predicate(query: Query | None, columns: list[Column]) -> Column:
 
 
 def _prepared(df: DataFrame, columns: list[str], language: str | None) -> tuple[DataFrame, list[str]]:
-    """df with a token array a column, made once: the rand-free projection isn't collapsed since it is read several times."""
+    """df with a token array a column. The arrays come out of a generator of one row, which predicates aren't pushed through:
+    they would cut the text into tokens once for each of their terms."""
     names = [f"__tokens_{i}" for i in range(len(columns))]
-    return df.withColumns({n: tokens(F.col(c), language) for n, c in zip(names, columns)}), names
+    made = F.struct(*[tokens(F.col(c), language).alias(n) for n, c in zip(names, columns)])
+    return df.select("*", F.inline(F.array(made))), names
 
 
 def _columns(columns: str | list[str]) -> list[str]:
@@ -208,3 +210,15 @@ def where_every_word(df: DataFrame, columns: str | list[str], text: str) -> Data
     if not words:
         return df.where(F.lit(False))
     return df.where(reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [F.coalesce(c.contains(w), F.lit(False)) for c in cols]) for w in words]))
+
+
+def token_table(df: DataFrame, key: str, columns: str | list[str], language: str | None = None) -> DataFrame:
+    """The inverted index as a table: (token, key, column, place) of every token, to be written sorted by token."""
+    each = [df.select(F.col(key).alias("key"), F.lit(c).alias("column"), F.posexplode(tokens(F.col(c), language)).alias("place", "token")) for c in _columns(columns)]
+    return reduce(DataFrame.unionByName, each).select("token", "key", "column", "place")
+
+
+def keys_with_every(index: DataFrame, words: list[str]) -> DataFrame:
+    """Keys whose rows hold all the tokens: a filter on the index, and one count a key."""
+    found = index.where(F.col("token").isin(words)).groupBy("key").agg(F.countDistinct("token").alias("n"))
+    return found.where(F.col("n") == len(set(words))).select("key")

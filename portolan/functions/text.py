@@ -99,3 +99,15 @@ def tokens_of(value: str, language: str | None = None) -> list[str]:
 
         return [stem(w) for w in words]
     return words
+
+
+def gram_table(df, key: str, column: str):
+    """(gram, key) of every trigram, to be written sorted by gram."""
+    return df.select(F.explode(trigrams(F.col(column))).alias("gram"), F.col(key).alias("key"))
+
+
+def keys_that_may_be_similar(grams, value: str, threshold: float = THRESHOLD):
+    """Keys that share trigrams enough for the similarity to reach the threshold at all."""
+    own = trigrams_of(value)
+    shared = grams.where(F.col("gram").isin(own)).groupBy("key").agg(F.count("*").alias("n"))
+    return shared.where(F.col("n") >= threshold * len(own)).select("key")

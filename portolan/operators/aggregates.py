@@ -39,12 +39,16 @@ def sum_where(name: str, column: str, given: Column) -> Column:
 
 
 def rollup(df: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
-    """Groups, subtotals of each prefix of the keys and the grand total, which is there for an empty input too."""
+    """Groups, subtotals of each prefix of the keys and the grand total, which is there for an empty input too.
+
+    Whether the input is empty takes a row of each partition, not another aggregation.
+    """
     if not keys or not all(isinstance(k, str) for k in keys):
         raise ValueError("rollup needs the names of its columns")
     totals = df.rollup(*keys).agg(*aggregates)
     nulls = [F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys]
-    alone = df.agg(F.count("*").alias("__n"), *aggregates).where("__n = 0").drop("__n")
+    some = df.select(F.lit(1).alias("__one")).limit(1)
+    alone = df.limit(0).agg(*aggregates).withColumn("__one", F.lit(1)).join(some, "__one", "left_anti").drop("__one")
     return totals.unionByName(alone.select(*nulls, *alone.columns))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -120,6 +122,31 @@ def infer_type(value) -> T.DataType:
     return T.StringType()
 
 
+def plain_value(value):
+    """A Python value as a table can hold it: enums by value, date-times without their offset, arrays and objects as JSON."""
+    import datetime
+    import enum
+    import json
+
+    if isinstance(value, enum.Enum):
+        return plain_value(value.value)
+    if isinstance(value, datetime.datetime):
+        return value.replace(tzinfo=None)
+    if isinstance(value, (list, tuple, dict)):
+        return json.dumps(value, ensure_ascii=False, default=str)
+    return value
+
+
+def with_defaults(df: DataFrame, spec: TableSpec) -> DataFrame:
+    """df with the columns' defaults where it has nulls, and defaults for columns that it lacks."""
+    out = df
+    for c in spec.columns:
+        if c.default is not None:
+            default = F.lit(plain_value(c.default))
+            out = out.withColumn(c.name, F.coalesce(F.col(c.name), default) if c.name in df.columns else default)
+    return out
+
+
 def kind_of(data_type: T.DataType) -> str:
     """bool, number, date, string or other."""
     if isinstance(data_type, T.BooleanType):

@@ -175,3 +175,15 @@ def test_policy():
         p.unsupported("once")
         p.unsupported("once")
     assert len(told) == 1
+
+
+def test_a_table_without_snapshots_has_no_past(spark, monkeypatch):
+    from portolan import session
+    from portolan.sources.store import as_of_time
+
+    monkeypatch.setattr(session, "policy", Policy())
+    with pytest.warns(UserWarning):
+        assert as_of_time(spark.range(3), "-5m").count() == 3
+    monkeypatch.setattr(session, "policy", Policy(strict=True))
+    with pytest.raises(UnsupportedFeature):
+        as_of_time(spark.range(3), "-5m")

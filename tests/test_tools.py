@@ -114,6 +114,22 @@ def test_search_plan():
     assert spec.without_index("ft").indexes == ()
 
 
+def test_values_and_defaults(spark):
+    import datetime
+    import enum
+
+    class Color(enum.Enum):
+        RED = "red"
+
+    zone = datetime.timezone(datetime.timedelta(hours=7))
+    assert P.plain_value(Color.RED) == "red" and P.plain_value(["é", 1]) == '["é", 1]'
+    assert P.plain_value(datetime.datetime(2026, 1, 1, 7, tzinfo=zone)) == datetime.datetime(2026, 1, 1, 7)
+    spec = P.TableSpec("t", (P.ColumnSpec("meta", "json", default={"a": 1}), P.ColumnSpec("n", "int", default=5), P.ColumnSpec("id", "bigint")))
+    got = P.with_defaults(spark.createDataFrame([(1, None), (2, "{}")], "id long, meta string"), spec).orderBy("id").collect()
+    assert [(r.meta, r.n) for r in got] == [('{"a": 1}', 5), ("{}", 5)]
+    assert P.infer_type(True) == T.BooleanType() and P.infer_type(1.5) == T.DoubleType() and P.infer_type({}) == T.StringType()
+
+
 def found(source, targets=()):
     return [f"{line}:{rule}" for line, rule, *_ in scanner.findings(source, targets)]
 
