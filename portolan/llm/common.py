@@ -12,6 +12,8 @@ WHITE = " \t\n\x0b\x0c\r"
 WHITE_CLASS = r"[\x20\x09-\x0D]"
 #: Texts are handled in slices of about so many bytes inside a Python worker.
 SLICE_BYTES = 4 << 20
+#: and of no more than so many, so that a text's number in a slice fits into 16 bits.
+SLICE_ROWS = 1 << 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +55,7 @@ def slices(batch, column: str = "text"):
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES
+    part = np.cumsum(sizes + SLICE_BYTES // SLICE_ROWS, dtype=np.int64) // SLICE_BYTES
     edges = [0, *(np.nonzero(np.diff(part))[0] + 1).tolist(), batch.num_rows]
     for a, b in zip(edges, edges[1:]):
         yield batch.slice(a, b - a)
