@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 from functools import reduce
@@ -179,8 +180,6 @@ def with_relevance(df: DataFrame, columns: str | list[str], text: str, name: str
     ).first()
     score = F.lit(0.0)
     for i in range(len(terms)):
-        import math
-
         idf = max(math.log((stats["n"] - stats[f"df_{i}"] + 0.5) / (stats[f"df_{i}"] + 0.5)), LEAST_IDF)
         tf = F.col(f"__tf_{i}").cast("double")
         score = score + F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__length") / F.lit(stats["mean"] or 1.0)))

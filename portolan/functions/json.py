@@ -56,7 +56,7 @@ def _plus(document: Column, keys: list[str], amount: int | float) -> Column:
     others = F.map_filter(fields, lambda k, _: k != keys[0])
     old = F.try_element_at(fields, F.lit(keys[0]))
     if len(keys) > 1:
-        new = F.parse_json(_plus(F.to_json(F.create_map(F.lit("x"), old)).substr(F.lit(6), F.length(F.to_json(F.create_map(F.lit("x"), old))) - 6), keys[1:], amount))
+        new = F.parse_json(_plus(F.to_json(old), keys[1:], amount))
     else:
         text = F.try_variant_get(old, "$", "string")
         whole = F.coalesce(text.try_cast("bigint"), F.when(text.try_cast("double").isNull(), F.lit(0)))

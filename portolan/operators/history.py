@@ -18,6 +18,13 @@ def append_events(log: DataFrame, events: DataFrame) -> DataFrame:
     return both.join(erased, "key", "left_anti").select(*log.columns)
 
 
+def not_older(log: DataFrame, events: DataFrame) -> DataFrame:
+    """The events without those of keys that the log has a newer version of: for stores that keep the latest state."""
+    newest = log.where("not erase").groupBy("key").agg(F.max("at").alias("__newest"))
+    known = events.join(newest, "key", "left")
+    return known.where(F.col("__newest").isNull() | (F.col("__newest") <= F.col("at"))).select(*events.columns)
+
+
 def intervals(log: DataFrame) -> DataFrame:
     """(key, row, _valid_from, _valid_to) of the log's existing versions, half open, the last one without an end."""
     same = Window.partitionBy("key", "at").orderBy(F.desc("seq"))

@@ -229,3 +229,25 @@ def foreign_key_order(tables: list[TableSpec]) -> list[TableSpec]:
         out += free
         left = [t for t in left if t not in free]
     return out
+
+
+def laid_out(df: DataFrame, spec: TableSpec) -> DataFrame:
+    """df as it should be written so that its indexes' columns are found by row groups: sorted within partitions by the
+    first plain, covering or descending index, with a column for each JSON key index (`meta->a` as `meta__a`)."""
+    from ..functions.json import json_text
+
+    out = df
+    for index in spec.indexes:
+        if index.kind == "json_key":
+            out = out.withColumns({c.replace("->", "__"): json_text(c) for c in index.columns})
+    for index in spec.indexes:
+        if index.kind in ("plain", "covering", "desc"):
+            ways = index.directions or ("desc" if index.kind == "desc" else "asc",) * len(index.columns)
+            return out.sortWithinPartitions(*[F.desc(c) if w == "desc" else F.asc(c) for c, w in zip(index.columns, ways)])
+    return out
+
+
+def partial_rows(df: DataFrame, index: IndexSpec) -> DataFrame:
+    """What a partial or covering index holds: its rows and columns."""
+    rows = df.where(index.where) if index.where else df
+    return rows.select(*dict.fromkeys([*index.columns, *index.include]))

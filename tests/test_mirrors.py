@@ -136,6 +136,12 @@ def test_history(spark):
     assert H.intervals(log).count() == 0
 
 
+def test_latest_state_skips_older_events(spark):
+    log = events(spark, ("2026-01-02", (1.0, True)))
+    new = spark.createDataFrame([(1, at("2026-01-01"), 5, False, None), (2, at("2026-01-01"), 6, False, None), (1, at("2026-01-02"), 7, False, None)], LOG)
+    assert sorted(r.seq for r in H.not_older(log, new).collect()) == [6, 7]
+
+
 def test_history_is_the_same_in_any_order(spark):
     rows = [(1, at("2026-01-01"), 1, False, (1.0, True)), (1, at("2026-01-02"), 2, False, None), (1, at("2026-01-02"), 3, False, (2.0, True)), (1, at("2026-01-03"), 4, False, (3.0, False))]
     found = set()

@@ -114,6 +114,15 @@ def test_search_plan():
     assert spec.without_index("ft").indexes == ()
 
 
+def test_layouts(spark):
+    df = spark.createDataFrame([(1, '{"a":"x"}'), (2, '{"a":"y"}'), (3, None)], "id long, meta string").coalesce(1)
+    spec = P.TableSpec("t", indexes=(P.IndexSpec("k", ("meta->a",), "json_key"), P.IndexSpec("d", ("id",), "desc")))
+    assert [(r.id, r.meta__a) for r in P.laid_out(df, spec).collect()] == [(3, None), (2, "y"), (1, "x")]
+    assert [tuple(r) for r in P.partial_rows(df, P.IndexSpec("p", ("id",), "partial", where="meta is null")).collect()] == [(3,)]
+    with pytest.raises(ValueError):
+        spec.with_index(P.IndexSpec("x", ("id",), "desc", directions=("down",)))
+
+
 def test_values_and_defaults(spark):
     import datetime
     import enum
