@@ -26,7 +26,6 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL = {
-    "op6_decontamination": op6_decontamination,
     "op7_substring_dedup": OP7_SQL,
     "op10_quality_rules": OP10_SQL,
 }
