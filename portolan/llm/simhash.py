@@ -192,10 +192,13 @@ def links(fps: DataFrame, radius: int, lanes: int = 1, parts: int | None = None)
     for p in range(parts):
         near = near.where((F.col(f"d{p}") + F.col(f"o.k{p}")).between(0, bits))
     near = near.select("cell", (F.col("cell") + F.col("o.by")).alias("other"))
-    near = near.join(cells.select(F.col("cell").alias("other")), "other")  # cells that exist
-    pairs = near.join(tiles.select("cell", "tile", F.col("body").alias("a")), "cell")
-    pairs = pairs.join(tiles.select(F.col("cell").alias("other"), F.col("tile").alias("tile2"), F.col("body").alias("b")), "other")
-    pairs = pairs.where("cell <> other or tile <= tile2").repartition("cell", "tile", "other", "tile2").select((F.col("cell").eqNullSafe(F.col("other")) & (F.col("tile") == F.col("tile2"))).alias("same"), "a", "b")
+    # pairs of tiles that exist, by number first: bodies then meet them by tile, so that no cell is gathered in one task
+    names = tiles.select("cell", "tile")
+    pairs = near.join(names, "cell").join(names.select(F.col("cell").alias("other"), F.col("tile").alias("tile2")), "other")
+    pairs = pairs.where("cell <> other or tile <= tile2")
+    pairs = pairs.join(tiles.select("cell", "tile", F.col("body").alias("a")), ["cell", "tile"])
+    pairs = pairs.join(tiles.select(F.col("cell").alias("other"), F.col("tile").alias("tile2"), F.col("body").alias("b")), ["other", "tile2"])
+    pairs = pairs.select(((F.col("cell") == F.col("other")) & (F.col("tile") == F.col("tile2"))).alias("same"), "a", "b")
 
     def compare(groups):
         import numpy as np
