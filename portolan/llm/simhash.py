@@ -6,6 +6,10 @@ differ by no more than the radius in all; a larger difference proves that no pai
 with numpy: exclusive-or, then bit counts. A pair of tiles gives a spanning forest of its links, not the links
 themselves, so copies never expand into pairs, and no link between components is lost.
 
+Where links are held to the texts, a forest won't do: a false link may stand in it for a true one. A pair of tiles then
+gives the trees' fingerprints, as groups; each group's texts are brought together once, and every link of theirs between
+components that aren't joined yet is held to the texts.
+
 Equal fingerprints are one node. Tiles are packed into binary rows of TILE fingerprints at most; the counts' cells that
 hold more are cut into several tiles.
 
@@ -25,6 +29,8 @@ from .components import components
 TILE = 4096
 #: Rows and columns of a block of fingerprints that numpy compares at once.
 BLOCK = 1024
+#: Members of a side of a group whose texts are compared in one place.
+GROUP = 512
 SEED = 42
 
 
@@ -78,7 +84,7 @@ def fingerprints(docs: DataFrame, keys: list[str], text: str, width: int, seed:
 
 def _forest(a, b, radius: int, same: bool):
     """Spanning forest of the links within radius between fingerprint arrays a and b (a and a if same), as index pairs
-    of the concatenation of a and b; the nearest links of a block are taken first."""
+    of the concatenation of a and b, and each index's root; the nearest links of a block are taken first."""
     import numpy as np
 
     n = len(a) if same else len(a) + len(b)
@@ -112,7 +118,30 @@ def _forest(a, b, radius: int, same: bool):
                         if (up == root).all():
                             break
                         root = up
-    return np.concatenate(kept, axis=1) if kept else np.zeros((2, 0), dtype=np.int64)
+    return np.concatenate(kept, axis=1) if kept else np.zeros((2, 0), dtype=np.int64), root
+
+
+def _groups(x, y, root, off: int):
+    """(name, side, members) of groups that hold both ends of every link of the trees of the forest x, y, in blocks of
+    GROUP members at most; off is where the second tile begins, 0 if there is none.
+
+    A group with one side only is compared with itself, else one side with the other.
+    """
+    import numpy as np
+
+    nodes = np.unique(np.concatenate([x, y]))
+    nodes = nodes[np.argsort(root[nodes], kind="stable")]
+    for tree in np.split(nodes, np.nonzero(np.diff(root[nodes]))[0] + 1):
+        name = int(root[tree[0]])
+        sides = [tree[tree < off], tree[tree >= off]] if off else [tree]
+        blocks = [np.array_split(side, -(-len(side) // GROUP)) for side in sides]
+        for i, left in enumerate(blocks[0]):
+            for j, right in enumerate(blocks[-1]):
+                if off or i < j:
+                    yield f"{name}.{i}.{j}", 0, left
+                    yield f"{name}.{i}.{j}", 1, right
+                elif i == j:
+                    yield f"{name}.{i}.{j}", 0, left
 
 
 def signature_deltas(parts: int, radius: int) -> list[tuple[int, ...]]:
@@ -131,8 +160,11 @@ def parts_for(n: int, radius: int) -> int:
     return 2 if n < 1 << 17 else 4 if n < 1 << 24 else 8
 
 
-def links(fps: DataFrame, radius: int, lanes: int = 1, parts: int | None = None) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints fps (fp0, ...), as hex strings: a spanning forest of each pair of tiles."""
+def links(fps: DataFrame, radius: int, lanes: int = 1, parts: int | None = None, grouped: bool = False) -> DataFrame:
+    """Links (a, b) between the distinct fingerprints fps (fp0, ...), as hex strings: a spanning forest of each pair of tiles.
+
+    If grouped, (group, side, node) of groups that hold both ends of every link.
+    """
     spark = fps.sparkSession
     scratch = Scratch(spark)
     own = [f"fp{i}" for i in range(lanes)]
@@ -198,22 +230,32 @@ def links(fps: DataFrame, radius: int, lanes: int = 1, parts: int | None = None)
     pairs = pairs.where("cell <> other or tile <= tile2")
     pairs = pairs.join(tiles.select("cell", "tile", F.col("body").alias("a")), ["cell", "tile"])
     pairs = pairs.join(tiles.select(F.col("cell").alias("other"), F.col("tile").alias("tile2"), F.col("body").alias("b")), ["other", "tile2"])
-    pairs = pairs.select(((F.col("cell") == F.col("other")) & (F.col("tile") == F.col("tile2"))).alias("same"), "a", "b")
+    pairs = pairs.select(((F.col("cell") == F.col("other")) & (F.col("tile") == F.col("tile2"))).alias("same"), F.concat_ws(".", "cell", "tile", "other", "tile2").alias("pair"), "a", "b")
 
     def compare(groups):
         import numpy as np
         import pyarrow as pa
 
         for batch in groups:
-            for same, a, b in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for same, pair, a, b in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 a, b = (np.frombuffer(v, "<u8").reshape(-1, lanes) for v in (a, b))
-                x, y = _forest(a, b, radius, same)
-                if len(x):
-                    every = (a if same else np.concatenate([a, b])).astype(">u8")
-                    ends = [pa.array([every[i].tobytes().hex() for i in v.tolist()]) for v in (x, y)]
-                    yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+                (x, y), root = _forest(a, b, radius, same)
+                if not len(x):
+                    continue
+                every = (a if same else np.concatenate([a, b])).astype(">u8")
+
+                def hexes(v):
+                    return pa.array([every[i].tobytes().hex() for i in v.tolist()])
 
-    return pairs.mapInArrow(compare, "a string, b string")
+                if not grouped:
+                    yield pa.RecordBatch.from_arrays([hexes(x), hexes(y)], names=["a", "b"])
+                    continue
+                names, sides, members = zip(*_groups(x, y, root, 0 if same else len(a)))
+                many = [len(m) for m in members]
+                names = pa.array([f"{pair}.{n}" for n, k in zip(names, many) for _ in range(k)])
+                yield pa.RecordBatch.from_arrays([names, pa.array(np.repeat(sides, many), pa.int32()), hexes(np.concatenate(members))], names=["group", "side", "node"])
+
+    return pairs.mapInArrow(compare, "group string, side int, node string" if grouped else "a string, b string")
 
 
 def hexed(lanes: int):
@@ -221,42 +263,81 @@ def hexed(lanes: int):
     return F.concat(*[F.lpad(F.lower(F.hex(f"fp{i}")), 16, "0") for i in range(lanes)])
 
 
-def verified(edges: DataFrame, ids: DataFrame, docs: DataFrame, keys: list[str], text: str, width: int, least: float) -> DataFrame:
-    """The edges whose texts' shingle sets have a Jaccard similarity of `least` at least.
+def _alike(fps, sides, sets, radius: int, least: float) -> list[tuple[int, int]]:
+    """Spanning forest of the links of a group that are within radius and whose sets (sorted arrays) have a Jaccard
+    similarity of `least` at least: all links but those between nodes joined already are held to the sets."""
+    import numpy as np
 
-    ids: (fingerprint, keys) of the text that stands for each fingerprint. The texts of the edges' ends are brought together
-    by edge: as many as there are edges, however large a group is.
+    n = len(fps)
+    root = np.arange(n)
+    rows, others = np.nonzero(sides == 0)[0], np.nonzero(sides == 1)[0]
+    sizes = np.array([len(s) for s in sets])
+    begins = np.cumsum(sizes) - sizes
+    kinds, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(kinds), dtype=bool)
+    out = []
+    for x in rows.tolist():
+        y = others if len(others) else np.arange(x + 1, n)
+        y = y[root[y] != root[x]]
+        y = y[np.bitwise_count(fps[y] ^ fps[x]).sum(axis=1, dtype=np.int64) <= radius]
+        y = y[np.minimum(sizes[y], sizes[x]) >= least * np.maximum(sizes[y], sizes[x])]
+        if not len(y):
+            continue
+        own = flat[begins[x] : begins[x] + sizes[x]]
+        mark[own] = True
+        for part in np.split(y, np.nonzero(np.diff(np.cumsum(sizes[y]) >> 20))[0] + 1):
+            ends = np.cumsum(sizes[part])
+            at = np.arange(ends[-1]) + np.repeat(begins[part] - ends + sizes[part], sizes[part])
+            shared = np.diff(np.concatenate([[0], np.cumsum(mark[flat[at]])])[np.concatenate([[0], ends])])
+            for z in part[shared >= least * (sizes[x] + sizes[part] - shared)].tolist():
+                if root[z] != root[x]:
+                    root[root == root[z]] = root[x]
+                    out.append((x, z))
+        mark[own] = False
+    return out
+
+
+def verified(groups: DataFrame, ids: DataFrame, docs: DataFrame, keys: list[str], text: str, width: int, radius: int, least: float) -> DataFrame:
+    """Links (a, b) of the groups' nodes within radius whose texts' shingle sets have a Jaccard similarity of `least` at
+    least: enough to join all nodes that such links join.
+
+    ids: (fingerprint, keys) of the text that stands for each fingerprint. A group's texts are brought together once each:
+    2 * GROUP at most, however large a tree is.
     """
-    ends = edges.distinct().select("a", "b", F.explode(F.array("a", "b")).alias("fingerprint")).join(ids, "fingerprint").select(*keys, "a", "b")
-    texts = docs.select(*keys, F.col(text).alias("text")).join(ends, keys).select("a", "b", F.xxhash64(*keys).alias("key"), "text")
-    dealt = texts.repartition("a", "b").sortWithinPartitions("a", "b", "key")
+    ends = groups.join(ids, F.col("node") == F.col("fingerprint")).select(*keys, "group", "side", "node")
+    texts = docs.select(*keys, F.col(text).alias("text")).join(ends, keys).select("group", "side", "node", "text")
+    dealt = texts.repartition("group").sortWithinPartitions("group", "side", "node")
 
     def judge(batches):
+        import numpy as np
         import pyarrow as pa
+        from xxhash import xxh3_64_intdigest
 
-        def shingles(body: bytes) -> set:
+        def shingles(body: bytes):
             words = words_of(body)
-            return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
-
-        edge, sides = None, {}
+            found = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+            return np.array(sorted(map(xxh3_64_intdigest, found)), dtype=np.uint64)
 
-        def result():
-            x, y = (sides.values() if len(sides) == 2 else (set(), set()))
-            if len(sides) == 1 or len(x & y) >= least * len(x | y):  # one side: the ends' texts are the same
-                return pa.RecordBatch.from_arrays([pa.array([v]) for v in edge], names=["a", "b"])
-            return None
+        def result(nodes, sides, sets):
+            fps = np.array([np.frombuffer(bytes.fromhex(v), ">u8") for v in nodes]).astype(np.uint64)
+            x, y = zip(*found) if (found := _alike(fps, np.array(sides), sets, radius, least)) else ((), ())
+            ends = [pa.array([nodes[i] for i in v], pa.string()) for v in (x, y)]
+            return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
 
+        at, last, nodes, sides, sets = None, None, [], [], []
         for batch in batches:
-            bodies = byte_texts(batch)
-            for a, b, key, body in zip(*(batch.column(i).to_pylist() for i in range(3)), bodies):
-                if (a, b) != edge:
-                    if edge and (out := result()):
-                        yield out
-                    edge, sides = (a, b), {}
-                if key not in sides:
-                    sides[key] = shingles(body)
-        if edge and (out := result()):
-            yield out
+            for group, side, node, body in zip(*(batch.column(i).to_pylist() for i in range(3)), byte_texts(batch)):
+                if group != at and nodes:
+                    yield result(nodes, sides, sets)
+                    last, nodes, sides, sets = None, [], [], []
+                at = group
+                if (side, node) != last:  # rows that repeat
+                    last = (side, node)
+                    nodes.append(node)
+                    sides.append(side)
+                    sets.append(shingles(body))
+        if nodes:
+            yield result(nodes, sides, sets)
 
     return dealt.mapInArrow(judge, "a string, b string")
 
@@ -270,11 +351,11 @@ def near_duplicates(docs: DataFrame, keys: list[str], text: str = "text", width:
     marked = scratch.keep(fingerprints(docs, keys, text, width, lanes=lanes, unique=unique), "fingerprints")
     order = F.struct(*[x for k in keys for x in (F.col(k).isNull().alias(f"no_{k}"), F.col(k).alias(k))])
     ids = marked.groupBy(*own).agg(F.min(order).alias("least"))
-    edges = links(ids, radius, lanes)
+    edges = links(ids, radius, lanes, grouped=least is not None)
     if least is not None:
-        edges = scratch.keep(edges, "edges")
+        groups = scratch.keep(edges, "groups")
         stand = ids.select(hexed(lanes).alias("fingerprint"), *[F.col("least")[k].alias(k) for k in keys])
-        edges = verified(edges, stand, docs, keys, text, width, least)
+        edges = verified(groups, stand, docs, keys, text, width, radius, least)
     found = components(edges, "string")
     rooted = ids.select(hexed(lanes).alias("fingerprint"), "least").join(found, F.col("fingerprint") == F.col("node"), "left")
     rooted = scratch.keep(rooted.select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")), "rooted")

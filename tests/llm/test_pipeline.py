@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from portolan.llm import stages
+from portolan.llm import simhash, stages
 from portolan.llm.decontamination import item_words
 from test_corpus_statistics import fences, measures
 from test_duplicates import edit, roots
@@ -106,3 +106,29 @@ def test_pipeline_of_nothing(spark, corpus, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("group", [512, 16])
+def test_near_dedup_of_families(spark, group, monkeypatch):
+    """False links between variants of a text hide no true one."""
+    monkeypatch.setattr(simhash, "TILE", 64)
+    monkeypatch.setattr(simhash, "BLOCK", 32)
+    monkeypatch.setattr(simhash, "GROUP", group, raising=False)
+    rng = random.Random(2)
+    texts = []
+    for f in range(3):
+        base = [f"f{f}w{rng.randrange(900)}" for _ in range(200)]
+        for v in range(80):
+            w = list(base)
+            for e in range(rng.randrange(9)):
+                w[rng.randrange(200)] = f"e{v}x{e}"
+            texts.append(" ".join(w))
+    texts = list(dict.fromkeys(texts))
+    prints, sets = [wide(t) for t in texts], [shingles(t) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= stages.RADIUS]
+    links = [(i, j) for i, j in near if len(sets[i] & sets[j]) >= stages.SIMILARITY * len(sets[i] | sets[j])]
+    assert len(near) > 2 * len(links) > 0
+    want = {i for i, k in enumerate(roots(len(texts), links)) if i == k}
+    rows = [(i, t, "en", "s", len(t), "x", None) for i, t in enumerate(texts)]
+    got = stages.one_of_each(spark.createDataFrame(rows + rows[:3], SCHEMA).repartition(3)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(want)
