@@ -261,6 +261,11 @@ def fold_text(spark, d):
     return load(spark, d, "documents").select("doc_id", fold(F.substring("text", 1, 200)).alias("folded"))
 
 
+@query("SELECT doc_id, strip_accents(lower(text)) AS folded FROM documents")
+def fold_text_whole(spark, d):
+    return load(spark, d, "documents").select("doc_id", fold(F.col("text")).alias("folded"))
+
+
 @query(f"{_TOKENS} SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(ts) AS token FROM t) GROUP BY token")
 def fulltext_index(spark, d):
     index = fulltext.token_table(load(spark, d, "documents"), "doc_id", "text")

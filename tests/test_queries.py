@@ -147,6 +147,14 @@ def test_similarity_of_nothing(spark):
     assert [r[0] for r in df.select(similarity(F.col("w"), "-")).collect()] == [0.0, None, 0.0]
 
 
+def test_whole_texts_are_folded(spark, tmp_path):
+    from portolan import catalogue
+
+    text = "x" * 300 + " Phở ĐÀ"
+    spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in catalogue.QUERIES["fold_text_whole"](spark, str(tmp_path)).collect()} == {(1, "x" * 300 + " pho da"), (2, None)}
+
+
 def test_fold(spark):
     rows = [("Phố cổ và hồ Gươm",), ("ĐƯỜNG biển",), ("Đà Nẵng Łø",), ("straße",)]
     assert [r[0] for r in spark.createDataFrame(rows, "t string").select(fold(F.col("t"))).collect()] == ["pho co va ho guom", "duong bien", "da nang lo", "straße"]
