@@ -2,7 +2,7 @@
 
 Templates and texts are cut into words (lower-cased A-Z, without ASCII punctuation at their ends). A text's k-word
 fingerprints are winnowed: of each WINDOW consecutive ones the least stays, so a shared run of K + WINDOW - 1 words
-always shares one. The inverted index gives the templates and places of those that stay; hits of one template on near
+always shares one; a template shorter than that is looked up by all its fingerprints. The inverted index gives the templates and places of those that stay; hits of one template on near
 diagonals are one candidate, which a banded local alignment of words scores. Reported are candidates whose matched
 words cover MIN_COVERAGE of the template, with the words' and characters' spans.
 
@@ -43,6 +43,10 @@ TEMPLATES = {
         "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to "
         "the following conditions:",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR "
+        "ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+        "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -56,10 +60,62 @@ TEMPLATES = {
     "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "BSD": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+        "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL "
+        "DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+        "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+        "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     ],
     "ISC": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
         "above copyright notice and this permission notice appear in all copies.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF "
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY "
+        "DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+        "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ],
+    "all-rights-reserved": ["All rights reserved."],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ],
+    "LGPL": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "Licensed under the GNU Lesser General Public License, version 3.",
+    ],
+    "AGPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "Licensed under the GNU Affero General Public License, version 3.",
+    ],
+    "GPL-warranty": [
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    ],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+        "file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ],
+    "CC-BY-SA-4.0": [
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    ],
+    "CC-BY-ND-4.0": [
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+        "binary, for any purpose, commercial or non-commercial, and by any means.",
     ],
 }
 
@@ -117,7 +173,7 @@ class Templates:
 
         self.k, self.window = k, window
         self.labels, self.texts, self.words = [], [], {}
-        found = []
+        found, short = [], []
         for label, texts in templates.items():
             for text in texts:
                 own = [self.words.setdefault(w, len(self.words) + 1) for w in item_words(text.encode())]
@@ -125,9 +181,12 @@ class Templates:
                     raise ValueError(f"a template of {label} has fewer than {k} words")
                 x = np.array(own, dtype=np.uint64)
                 h = span_names(x, np.arange(len(x) - k + 1), np.arange(k, len(x) + 1), BASE)
-                found += [(int(h[p]), len(self.texts), p) for p in winnow(h, np.array([0, len(h)]), window).tolist()]
+                places = winnow(h, np.array([0, len(h)]), window) if len(own) >= k + window - 1 else np.arange(len(h))
+                found += [(int(h[p]), len(self.texts), p) for p in places.tolist()]
+                short += [] if len(own) >= k + window - 1 else h.tolist()
                 self.labels.append(label)
                 self.texts.append(own)
+        self.short = np.unique(np.array(short, dtype=np.uint64))
         found.sort()
         names, which, place = zip(*found)
         self.names, self.which, self.place = np.array(names, dtype=np.uint64), np.array(which), np.array(place)
@@ -146,7 +205,7 @@ class Templates:
         h = span_names(x, at, at + self.k, BASE)
         # stretches of consecutive places are winnowed on their own, as fingerprints with unknown words never hit
         starts = np.nonzero(np.append(True, np.diff(at) != 1))[0] if len(at) else np.zeros(0, dtype=np.int64)
-        kept = winnow(h, np.append(starts, len(at)), self.window)
+        kept = np.union1d(winnow(h, np.append(starts, len(at)), self.window), np.nonzero(np.isin(h, self.short))[0])
         lo, hi = np.searchsorted(self.names, h[kept], side="left"), np.searchsorted(self.names, h[kept], side="right")
         many = hi - lo
         entry = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())

@@ -258,6 +258,19 @@ def test_licenses(spark):
         licenses.Templates({"x": ["two words"]})
 
 
+def test_every_license_text_is_found(spark):
+    asked = [
+        ("all-rights-reserved", "All rights reserved."),
+        ("GPL-2.0", "either version 2"), ("LGPL", "Lesser"), ("AGPL-3.0", "Affero"), ("MPL-2.0", "Mozilla"), ("CC-BY-SA-4.0", "BY-SA"),
+        ("CC-BY-ND-4.0", "BY-ND"), ("Unlicense", "unencumbered"), ("MIT", "NONINFRINGEMENT"), ("BSD", "binary form"), ("BSD", "Neither the name"),
+    ]
+    every = [(k, i, t) for k, ts in licenses.TEMPLATES.items() for i, t in enumerate(ts)]
+    assert all(any(k == label and part in t for k, _, t in every) for label, part in asked)
+    rows = [(n, f"Some words\n{t}\nand more") for n, (_, _, t) in enumerate(every)]
+    got = licenses.license_matches(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.doc_id, r.license, r.template) for r in got if r.coverage == 1} >= {(n, k, i) for n, (k, i, _) in enumerate(every)}
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(1)
     for _ in range(200):
