@@ -18,9 +18,9 @@ from .simhash import near_duplicates
 from .substrings import NO_ID
 
 #: Near-duplicate documents: 128-bit fingerprints of distinct five-word shingles. Two documents with a Jaccard similarity
-#: of 0.8 have a cosine of 0.889, so 19.4 of 128 bits are expected to differ, with a deviation of 4; RADIUS leaves two
+#: of 0.8 have a cosine of 0.889, so 19.4 of 128 bits are expected to differ, with a deviation of 4; RADIUS leaves three
 #: deviations. Links are then held to the texts' own similarity.
-SHINGLE, LANES, RADIUS, SIMILARITY = 5, 2, 28, 0.8
+SHINGLE, LANES, RADIUS, SIMILARITY = 5, 2, 32, 0.8
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
