@@ -18,6 +18,28 @@ def catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "table string, column string, type string")
 
 
+def catalog_keys(spark: SparkSession, specs: list[TableSpec]) -> DataFrame:
+    """(table, kind, name, columns, refers_to) of the specifications' keys, unique keys, indexes and foreign keys."""
+    rows = []
+    for s in specs:
+        rows += [(s.name, "key", "key", list(s.key), None)] if s.key else []
+        rows += [(s.name, "unique", "_".join(u), list(u), None) for u in s.unique]
+        rows += [(s.name, f"{i.kind} index", i.name, list(i.columns), None) for i in s.indexes]
+        rows += [(s.name, "foreign key", c, [c], t) for c, t in s.references]
+    return spark.createDataFrame(rows, "table string, kind string, name string, columns array<string>, refers_to string")
+
+
+def next_keys(store: SnapshotStore, specs: list[TableSpec]) -> dict[str, int]:
+    """After copying: the first free value of each table's integer key, for whoever numbers its rows."""
+    out = {}
+    for s in specs:
+        if len(s.key) == 1 and store.exists(s.name):
+            rows = store.read(s.name)
+            if isinstance(rows.schema[s.key[0]].dataType, T.IntegralType):
+                out[s.name] = (rows.agg(F.max(s.key[0])).first()[0] or 0) + 1
+    return out
+
+
 def most_recent(df: DataFrame, key: str | None, n: int) -> DataFrame:
     """The n rows with the largest keys; without a key, any n."""
     return df.orderBy(F.desc(key)).limit(n) if key else df.limit(n)
@@ -109,7 +131,10 @@ def _copy_one(source: SnapshotStore, target: SnapshotStore, spec: TableSpec, sam
     unique = [list(spec.key)] * bool(spec.key) + [list(u) for u in spec.unique]
     added = insert_or_ignore(have, conform(rows, have.schema), unique)
     before, parent = have.count(), target.at(spec.name).id
-    target.commit(spec.name, have.unionByName(added), "copy", parent=parent)
+    if target.at(spec.name).key:
+        target.commit(spec.name, have.unionByName(added), "copy", parent=parent)
+    else:
+        target.append(spec.name, added.select(*have.columns), "copy", parent=parent)
     after = target.read(spec.name).count()
     n = after - before
     skipped = f", {wanted - n} skipped" if wanted > n else ""

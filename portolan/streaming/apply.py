@@ -11,40 +11,42 @@ from ..operators.mirror import Mirror
 from ..sources.store import SnapshotStore
 
 
+def last_actions(batch: DataFrame) -> DataFrame:
+    """(key, action): the last action of each key by `seq`; where the changes have no seq, or equal ones, sync comes after
+    remove, since it asks the owner. An erase isn't taken back."""
+    rank = F.when(F.col("action") == "remove", 0).when(F.col("action") == "sync", 1).otherwise(2)
+    seq = F.col("seq").cast("long") if "seq" in batch.columns else F.lit(0).cast("long")
+    word = F.struct((F.col("action") == "erase").alias("erase"), F.coalesce(seq, F.lit(0).cast("long")).alias("seq"), rank.alias("rank"), F.col("action").alias("action"))
+    return batch.groupBy("key").agg(F.max(word).alias("word")).select("key", "word.action")
+
+
 def apply_changes(changes: DataFrame, mirror: Mirror, checkpoint: str, name: str | None = None) -> StreamingQuery:
-    """Runs the stream of (key, action) into the mirror, as far as it has come.
+    """Runs the stream of (key, action) or (key, action, seq) into the mirror, as far as it has come.
 
-    A key that waits more than once in a batch is written once: the last word is erase, then remove, then sync. A batch
-    that was committed already isn't applied again, so replays don't matter.
+    A key that waits more than once in a batch is written once. A batch that was committed already isn't applied again, so
+    replays don't matter.
     """
 
     def one(batch: DataFrame, number: int) -> None:
-        rank = F.when(F.col("action") == "erase", 2).when(F.col("action") == "remove", 1).otherwise(0)
-        keys = batch.groupBy("key").agg(F.max(rank).alias("rank"))
-        keys.persist()
-        try:
-            gone, asked = keys.where("rank > 0").select("key"), keys.where("rank = 0").select("key")
-            if not gone.isEmpty():
-                mirror.sync(gone, "remove", batch=f"{checkpoint}#{number}-")
-            if not asked.isEmpty():
-                mirror.sync(asked, "sync", batch=f"{checkpoint}#{number}+")
-        finally:
-            keys.unpersist()
+        mirror.apply(last_actions(batch), (checkpoint, number))
 
     writer = changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     return (writer.queryName(name) if name else writer).start()
 
 
 def apply_versions(events: DataFrame, store: SnapshotStore, table: str, checkpoint: str) -> StreamingQuery:
-    """Runs the stream of events into a history log, every version kept."""
+    """Runs the stream of events into a history log, every version kept. A batch without erasures is added to the log's
+    files; one that erases rewrites the log, so that what was erased is in no current file."""
 
     def one(batch: DataFrame, number: int) -> None:
-        tag = f"{checkpoint}#{number}"
-        if store.exists(table):
-            now = store.at(table)
-            store.commit(table, append_events(store.read(table, id=now.id), batch), "versions", tag, parent=now.id)
-        else:
+        tag = (checkpoint, number)
+        if not store.exists(table):
             store.commit(table, append_events(batch.limit(0), batch), "versions", tag)
+        elif batch.where("erase").isEmpty():
+            store.append(table, batch.select(*store.read(table).columns), "versions", tag)
+        else:
+            now = store.at(table)
+            store.commit(table, append_events(store.read(table, id=now.id), batch), "erase", tag, parent=now.id)
 
     return events.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -36,9 +36,82 @@ def test_snapshots(spark, store):
         store.commit("t", store.read("t"), "late", parent=one.id)
     with pytest.raises(LookupError):
         store.read("t", as_of="2000-01-01")
-    assert store.commit("t", store.read("t"), "b", batch="x").id == store.commit("t", store.read("t"), "b", batch="x").id
+    assert store.commit("t", store.read("t"), "b", batch=("x", 4)).id == store.commit("t", store.read("t"), "b", batch=("x", 3)).id
     store.flush("t", history=True)
     assert store.read("t").count() == 0 and len(store.snapshots("t")) == 1
+    again = SnapshotStore(spark, store.root)
+    assert again.append("t", spark.createDataFrame([(3, 1)], "id long, total int"), "more").parent == store.at("t").id - 1
+    assert again.read("t").count() == 1 and store.read("t").count() == 1
+
+
+def test_commit_times_differ_with_a_still_clock(spark, store, monkeypatch):
+    import portolan.sources.store as module
+
+    class Still(datetime):
+        @classmethod
+        def now(cls, tz=None):
+            return datetime(2026, 1, 1, 0, 0, 0, 999_998, tz)
+
+    monkeypatch.setattr(module, "datetime", Still)
+    made = [store.commit("t", spark.range(n), "n") for n in range(4)]
+    assert len({s.committed_at for s in made}) == 4 and made[-1].committed_at == "2026-01-01T00:00:01.000001"
+    assert [store.read("t", as_of=s.committed_at).count() for s in made] == [0, 1, 2, 3]
+
+
+def test_changes_by_key_write_their_buckets_only(spark, store):
+    store.commit("t", spark.range(200).select("id", F.lit("old").alias("v")), "create", key="id", buckets=16)
+    before = store.at("t")
+    keys = spark.createDataFrame([(5,), (6,)], "id long")
+    s = store.change("t", keys, lambda now: now.withColumn("v", F.when(F.col("id").isin(5, 6), "new").otherwise(F.col("v"))), "change")
+    assert len(before.parts) == 16 and len({*s.parts} - {*before.parts}) <= 2
+    assert store.read("t").where("v = 'new'").count() == 2 and store.read("t").count() == 200 and store.read("t", id=before.id).where("v = 'new'").count() == 0
+    assert store.change("t", keys.limit(0), lambda now: now, "nothing").id == s.id
+    with pytest.raises(ValueError):
+        store.append("t", store.read("t"), "more")
+    store.commit("u", spark.range(3), "create")
+    with pytest.raises(ValueError):
+        store.change("u", keys, lambda now: now, "change")
+
+
+def test_a_conflicting_change_is_made_again(spark, store, monkeypatch):
+    store.commit("t", spark.range(4).select("id", F.lit(0).alias("v")), "create", key="id", buckets=2)
+    keys = spark.range(4)
+    other, plain = SnapshotStore(spark, store.root), store._written
+
+    def slow(*given):
+        monkeypatch.setattr(store, "_written", plain)
+        other.change("t", keys, lambda now: now.withColumn("v", F.col("v") + 10), "other")
+        return plain(*given)
+
+    monkeypatch.setattr(store, "_written", slow)
+    store.change("t", keys, lambda now: now.withColumn("v", F.col("v") + 1), "mine")
+    assert {r.v for r in store.read("t").collect()} == {11}
+
+
+def test_owner_changes_reach_the_mirror(spark, store):
+    rows = lambda *r: spark.createDataFrame(r, "id long, v string, deleted_at timestamp")
+    owner = M.Owner(store, "o", "id", "deleted_at")
+    mirror = M.Mirror(M.MirrorSpec("o", "m", "id", None, None, transform=lambda df: df.select("id", "v")), store, lambda: store.read("o").where("deleted_at is null"))
+    owner.write(rows((1, "a", None), (2, "b", None)))
+    mirror.create()
+    assert owner.mirror(mirror) == 1 and owner.pending(mirror).count() == 0
+    owner.write(rows((1, "a2", None), (3, "c", None)))
+    owner.write(rows((1, "a2", None), (3, "c", at("2026-01-01")), (4, "d", None)))
+    assert sorted(map(tuple, owner.pending(mirror).collect())) == [(1, "sync", 2), (2, "remove", 2), (3, "remove", 3), (3, "sync", 2), (4, "sync", 3)]
+    store.commit("o", rows((4, "d", None)), "behind the log's back")
+    assert owner.capture() == 1 and owner.capture() == 0
+    assert owner.mirror(mirror) == 4 and sorted(map(tuple, mirror.read().collect())) == [(4, "d")]
+    done = store.at("m").id
+    assert owner.mirror(mirror) == 4 and store.at("m").id == done
+
+
+def test_the_last_action_of_a_key_counts(spark):
+    from portolan.streaming.apply import last_actions
+
+    rows = [(1, "remove", 1), (1, "sync", 2), (2, "sync", 1), (2, "remove", 2), (3, "erase", 1), (3, "sync", 5), (4, "sync", None), (5, "remove", 3), (5, "sync", 3)]
+    changes = spark.createDataFrame(rows, "key long, action string, seq long")
+    assert dict(map(tuple, last_actions(changes).collect())) == {1: "sync", 2: "remove", 3: "erase", 4: "sync", 5: "sync"}
+    assert dict(map(tuple, last_actions(changes.drop("seq")).collect()))[2] == "sync"
 
 
 def test_instants():
@@ -83,7 +156,8 @@ def test_mirror(spark, store):
     spec = registry.register(M.MirrorSpec("orders", "m_orders", "order_id", "id", "updated_at", F.col("status") != "void"))
     mirror = M.Mirror(spec, store, lambda: owner["df"], registry)
     mirror.create()
-    assert mirror.backfill() == (1, 0)
+    told = []
+    assert mirror.backfill(progress=lambda *x: told.append(x)) == (1, 0) and told == [(1, 0)]
     owner["df"] = spark.createDataFrame([(1, "void", 1.0, at("2026-01-02")), (2, "new", 2.0, at("2026-01-02")), (3, "new", 3.0, None)], ORDER)
     with registry.without_mirroring("orders"):
         mirror.sync(spark.createDataFrame([(1,)], "id long"))
@@ -161,7 +235,7 @@ def test_streams(spark, store, tmp_path):
     mirror.create()
     for keys, action in (("id < 10", "sync"), ("id < 10", "sync"), ("id between 5 and 6", "remove")):
         M.change_rows(owner.where(keys), "id", action).write.mode("append").parquet(str(tmp_path / "changes"))
-        q = apply_changes(spark.readStream.schema("key long, action string").parquet(str(tmp_path / "changes")), mirror, str(tmp_path / "ck"))
+        q = apply_changes(spark.readStream.schema("key long, action string, seq long").parquet(str(tmp_path / "changes")), mirror, str(tmp_path / "ck"))
         q.awaitTermination()
     assert sorted(r.id for r in mirror.read().collect()) == [0, 1, 2, 3, 4, 7, 8, 9]
     assert "rows" in progress(q)
@@ -169,6 +243,13 @@ def test_streams(spark, store, tmp_path):
     for _ in range(2):  # the second run has nothing to do
         apply_versions(spark.readStream.schema(LOG).parquet(str(tmp_path / "events")), store, "log", str(tmp_path / "ck2")).awaitTermination()
     assert store.read("log").count() == 1
+    events(spark, ("2026-01-02", (2.0, True))).write.mode("append").parquet(str(tmp_path / "events"))
+    first = store.at("log").parts
+    apply_versions(spark.readStream.schema(LOG).parquet(str(tmp_path / "events")), store, "log", str(tmp_path / "ck2")).awaitTermination()
+    assert store.read("log").count() == 2 and store.at("log").parts[: len(first)] == first  # added, not rewritten
+    spark.createDataFrame([(1, at("2026-01-03"), 9, True, None)], LOG).write.mode("append").parquet(str(tmp_path / "events"))
+    apply_versions(spark.readStream.schema(LOG).parquet(str(tmp_path / "events")), store, "log", str(tmp_path / "ck2")).awaitTermination()
+    assert store.read("log").count() == 0 and not {*first} & {*store.at("log").parts}
     with pytest.raises(ValueError):
         M.change_rows(owner, "id", "explode")
 
