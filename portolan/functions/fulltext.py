@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import contracts
 from .text import tokens, tokens_of
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -144,6 +145,8 @@ def _columns(columns: str | list[str]) -> list[str]:
 
 def where_full_text(df: DataFrame, columns: str | list[str], text: str, mode: str = "words", language: str | None = None) -> DataFrame:
     """Rows in which the columns match the search text."""
+    if box := contracts.own(contracts.SearchBox):
+        return box.where_full_text(df, _columns(columns), text, mode, language)
     query = parse(text, mode, language)
     if query is None:
         return df.where(F.lit(False))
@@ -156,6 +159,8 @@ def with_relevance(df: DataFrame, columns: str | list[str], text: str, name: str
 
     The statistics are one aggregate: a row of the number of rows, the mean length and each term's rows.
     """
+    if box := contracts.own(contracts.SearchBox):
+        return box.with_relevance(df, _columns(columns), text, name, mode, language)
     query = parse(text, mode, language)
     if query is None:
         return df.withColumn(name, F.lit(0.0))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,24 +22,24 @@ def _at(document: Column, key: str) -> Column:
     return F.get_json_object(document, f"$['{key}']")
 
 
-def json_text(path: str) -> Column:
-    """The value as text; null if it is missing or JSON null."""
-    column, keys = split_path(path)
+def json_text(path: str, column: Callable[[str], Column] = F.col) -> Column:
+    """The value as text; null if it is missing or JSON null. column: what makes the path's column of its name."""
+    name, keys = split_path(path)
     if any("'" in k or "\\" in k for k in keys):
-        value = F.col(column)
+        value = column(name)
         for key in keys:
             value = _at(value, key)
         return value
-    return F.get_json_object(F.col(column), "$" + "".join(f"['{k}']" for k in keys))
+    return F.get_json_object(column(name), "$" + "".join(f"['{k}']" for k in keys))
 
 
-def json_number(path: str) -> Column:
+def json_number(path: str, column: Callable[[str], Column] = F.col) -> Column:
     """The value as a double, numeric strings included; null if it isn't a number."""
-    return json_text(path).try_cast("double")
+    return json_text(path, column).try_cast("double")
 
 
-def json_bool(path: str) -> Column:
-    text = json_text(path)
+def json_bool(path: str, column: Callable[[str], Column] = F.col) -> Column:
+    text = json_text(path, column)
     return F.when(text == "true", True).when(text == "false", False)
 
 
@@ -49,6 +51,35 @@ def char_length(column: Column | str) -> Column:
     return F.char_length(column)
 
 
+class On:
+    """The expressions bound to a source: a DataFrame, the alias of one, or a struct column."""
+
+    def __init__(self, source: DataFrame | str | Column):
+        self.source = source
+
+    def column(self, name: str) -> Column:
+        return F.col(f"{self.source}.{name}") if isinstance(self.source, str) else self.source[name]
+
+    def json_text(self, path: str) -> Column:
+        return json_text(path, self.column)
+
+    def json_number(self, path: str) -> Column:
+        return json_number(path, self.column)
+
+    def json_bool(self, path: str) -> Column:
+        return json_bool(path, self.column)
+
+    def cast_text(self, name: str) -> Column:
+        return cast_text(self.column(name))
+
+    def char_length(self, name: str) -> Column:
+        return char_length(self.column(name))
+
+
+def on(source: DataFrame | str | Column) -> On:
+    return On(source)
+
+
 def _plus(document: Column, keys: list[str], amount: int | float) -> Column:
     """The document with keys' value raised; what isn't an object starts as an empty one."""
     empty = F.create_map().cast("map<string,variant>")
@@ -75,3 +106,18 @@ def increment_json(path: str, amount: int | float = 1) -> Column:
 
 def decrement_json(path: str, amount: int | float = 1) -> Column:
     return increment_json(path, -amount)
+
+
+def with_incremented(df: DataFrame, path: str, amount: int | float = 1, extra: dict | None = None, where: Column | None = None, touch: str | None = "updated_at") -> DataFrame:
+    """df with the path's value raised by amount in the rows that `where` holds for, the extra columns set there, and the
+    touched column set to now, if there is one."""
+    column, _ = split_path(path)
+    new = {column: increment_json(path, amount)}
+    if touch and touch in df.columns:
+        new[touch] = F.current_timestamp().cast(df.schema[touch].dataType)
+    for name, value in (extra or {}).items():
+        new[name] = (value if isinstance(value, Column) else F.lit(value)).cast(df.schema[name].dataType)
+    if where is not None:
+        hit = F.coalesce(where, F.lit(False))
+        new = {name: F.when(hit, value).otherwise(F.col(name)) for name, value in new.items()}
+    return df.withColumns(new)

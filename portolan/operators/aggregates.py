@@ -85,3 +85,8 @@ def time_window(df: DataFrame, column: str, width: str, *aggregates: Column, key
     """Tumbling windows with their bounds as _wstart and _wend."""
     out = df.groupBy(F.window(column, width).alias("__w"), *keys).agg(*aggregates)
     return out.select(F.col("__w.start").alias("_wstart"), F.col("__w.end").alias("_wend"), *[c for c in out.columns if c != "__w"])
+
+
+def sample_by_hash(df: DataFrame, key: str, share: float) -> DataFrame:
+    """The rows whose key's MD5 begins below the share of its first byte's 256 values: the same rows wherever it is asked."""
+    return df.where(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 2) < f"{round(share * 256):02x}")

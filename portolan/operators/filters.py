@@ -7,6 +7,7 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import contracts
 from ..functions.json import json_number, json_text
 from ..functions.text import THRESHOLD, escape_like, literal, operand, similarity
 
@@ -44,6 +45,10 @@ def like(column: str, pattern: str, unaccent: bool = False) -> Column:
     return operand(F.col(column), unaccent).like(literal(pattern, unaccent))
 
 
+def not_like(column: str, pattern: str, unaccent: bool = False) -> Column:
+    return ~like(column, pattern, unaccent)
+
+
 def like_literal(column: str, before: str, value: str, after: str, unaccent: bool = False) -> Column:
     """LIKE with a value whose own % and _ are literal."""
     return like(column, before + escape_like(value) + after, unaccent)
@@ -51,7 +56,9 @@ def like_literal(column: str, before: str, value: str, after: str, unaccent: boo
 
 def similar(column: str, value: str, threshold: float | None = None, unaccent: bool = False) -> Column:
     """Trigram similarity of 0.3 at least, and of the threshold if there is one."""
-    return similarity(F.col(column), value, unaccent) >= max(THRESHOLD, threshold or 0.0)
+    box = contracts.own(contracts.SimilaritySearch)
+    score = box.similarity(column, value, unaccent) if box else similarity(F.col(column), value, unaccent)
+    return score >= max(THRESHOLD, threshold or 0.0)
 
 
 def with_similarity(df: DataFrame, column: str, value: str, name: str = "similarity", unaccent: bool = False) -> DataFrame:
@@ -82,5 +89,30 @@ def year_is(column: str, year: int) -> Column:
     return F.year(F.col(column)) == year
 
 
+def month_is(column: str, month: int) -> Column:
+    return F.month(F.col(column)) == month
+
+
+def day_is(column: str, day: int) -> Column:
+    return F.dayofmonth(F.col(column)) == day
+
+
+def time_is(column: str, op: str, time: str) -> Column:
+    """Compares the time of day; time is HH:MM or HH:MM:SS."""
+    if op not in COMPARE:
+        raise ValueError(f"unknown comparison {op!r}")
+    whole = time if time.count(":") == 2 else f"{time}:00"
+    return COMPARE[op](F.date_format(F.col(column).cast("timestamp"), "HH:mm:ss"), F.lit(whole))
+
+
+def with_deleted(df: DataFrame) -> DataFrame:
+    """All rows: what a table that marks its deleted rows shows unless it is told to hide them."""
+    return df
+
+
+def only_deleted(df: DataFrame, column: str = "deleted_at") -> DataFrame:
+    return df.where(F.col(column).isNotNull())
+
+
 def not_deleted(df: DataFrame, column: str = "deleted_at") -> DataFrame:
     return df.where(F.col(column).isNull())

@@ -137,6 +137,12 @@ def plain_value(value):
     return value
 
 
+def with_casts(df: DataFrame, spec: TableSpec) -> DataFrame:
+    """df with the columns that spec has read as it has them: a mirror's columns by its owner's types and casts."""
+    casts = {c.name: F.col(c.name).cast(kind) for c in spec.columns if c.name in df.columns and (kind := map_type(c)) is not None}
+    return df.withColumns(casts) if casts else df
+
+
 def with_defaults(df: DataFrame, spec: TableSpec) -> DataFrame:
     """df with the columns' defaults where it has nulls, and defaults for columns that it lacks."""
     out = df
@@ -179,6 +185,17 @@ class SchemaPlan:
         return self.sql(), undo
 
 
+    def apply(self, target) -> None:
+        """Makes the table, or adds the columns, in a snapshot store or in a session's catalog."""
+        if hasattr(target, "widen"):
+            if self.create or self.added:
+                key = next((f.name for f in self.added if not f.nullable), None) if self.create else None
+                target.widen(self.table, list(self.added), key)
+            return
+        for statement in self.sql():
+            target.sql(statement)
+
+
 def plan_schema(table: str, wanted: T.StructType, key: str, existing: T.StructType | None = None) -> SchemaPlan:
     if key not in wanted.fieldNames():
         raise ValueError(f"{table} has no key {key}")
