@@ -15,7 +15,6 @@ from .operators import mirror as M
 from .operators import ordering as O
 from .operators import quality as Q
 from .operators import relations as R
-from .operators import scanner
 from .plans.tables import ColumnSpec, TableSpec
 from .session import load
 from .sources import scans
@@ -92,10 +91,10 @@ def time_window_daily(spark, d):
     return A.time_window(load(spark, d, "events"), "ts", "1 day", F.count("*").alias("n"), money("total", F.sum("value")))
 
 
-@query()
+@query("SELECT event_id, user_id, event_type FROM events WHERE substr(md5(event_id::VARCHAR), 1, 2) < '1a'")
 def sample_rows(spark, d):
-    """A random tenth of the rows; the sampling is the feature."""
-    return load(spark, d, "events").sample(fraction=0.1, seed=7)
+    """A tenth of the rows; the sampling is the feature. By a hash of the key, so that it is the same in any engine."""
+    return A.sample_by_hash(load(spark, d, "events"), "event_id", 26 / 256).select("event_id", "user_id", "event_type")
 
 
 # JSON
@@ -256,13 +255,8 @@ def fulltext_bm25_topk(spark, d):
     return scored.where("relevance > 0").orderBy(F.desc("relevance"), "doc_id").limit(20).select("doc_id", F.round("relevance", 6).alias("relevance"))
 
 
-@query("SELECT doc_id, strip_accents(lower(substr(text, 1, 200))) AS folded FROM documents")
-def fold_text(spark, d):
-    return load(spark, d, "documents").select("doc_id", fold(F.substring("text", 1, 200)).alias("folded"))
-
-
 @query("SELECT doc_id, strip_accents(lower(text)) AS folded FROM documents")
-def fold_text_whole(spark, d):
+def fold_text(spark, d):
     return load(spark, d, "documents").select("doc_id", fold(F.col("text")).alias("folded"))
 
 
@@ -391,10 +385,13 @@ def compare_profile(spark, d):
     return Q.compare_profile(orders, mirror, ["o_custkey", "o_orderstatus"]).drop("differs")
 
 
-@query("SELECT o_custkey, min(o_orderkey) >= 0 AS whole FROM orders WHERE o_custkey % 2 = 1 GROUP BY o_custkey")
+@query("SELECT o_custkey, o_custkey % 7 AS rest FROM orders WHERE o_custkey % 2 = 1 GROUP BY o_custkey UNION ALL SELECT NULL, o_orderkey FROM orders WHERE o_orderkey % 40 = 0")
 def copy_insert_ignore(spark, d):
-    orders = load(spark, d, "orders").select("o_custkey", F.lit(True).alias("whole"))
-    return scans.insert_or_ignore(orders.where("o_custkey % 2 = 0"), orders, [["o_custkey"]])
+    """One row of each key that the target lacks; null keys never clash."""
+    orders = load(spark, d, "orders")
+    rows = orders.select(F.col("o_custkey"), (F.col("o_custkey") % 7).alias("rest"))
+    rows = rows.unionAll(orders.where("o_orderkey % 40 = 0").select(F.lit(None).cast(orders.schema["o_custkey"].dataType), F.col("o_orderkey")))
+    return scans.insert_or_ignore(rows.where("o_custkey % 2 = 0"), rows, [["o_custkey"]])
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey > (SELECT max(o_orderkey) FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey < 5000)")
@@ -458,15 +455,6 @@ def mirror_reshaped(spark, d):
     return _summaries(spark, d).shaped(load(spark, d, "orders"))
 
 
-@query("SELECT o_orderkey AS id, o_totalprice, n_name AS nation FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus <> 'P'")
-def mirror_backfill_keep(spark, d):
-    spec, orders = _summaries(spark, d), load(spark, d, "orders")
-    before = spec.shaped(orders.where("o_orderkey % 2 = 0")).withColumn("o_totalprice", F.lit(0.0))  # some of it stale, some unwanted
-    kept = F.coalesce(spec.keep, F.lit(False))
-    written = M.merge(before, spec.shaped(orders.where(kept)), "id")
-    return M.remove(written, orders.where(~kept).select(F.col("o_orderkey").alias("id")), "id")
-
-
 def _log(spark, d) -> DataFrame:
     rows = load(spark, d, "events").select("event_id", "user_id", "ts", "event_type", "value")
     log = H.as_events(rows, "user_id", "ts", "event_id")
@@ -505,14 +493,6 @@ def history_overlap(spark, d):
     return _plain(H.valid_between(H.intervals(_log(spark, d)), "2024-01-10", "2024-01-20"))
 
 
-@query("SELECT item_id, line, rule FROM (SELECT item_id, 1 AS line, unnest(['nulls-first-last', 'ilike']) AS rule FROM benchmark)")
-def scan_findings(spark, d):
-    code = F.concat(F.lit("$q->whereRaw('name ilike ? order by x nulls last'); // "), F.regexp_replace("text", r"[\s'\"]+", " "))
-    files = load(spark, d, "benchmark").select("item_id", F.col("item_id").cast("string").alias("path"), code.alias("value"))
-    found = scanner.scan_texts(files, targets=("mysql",))
-    return found.select(F.col("file").cast("long").alias("item_id"), "line", "rule")
-
-
 def _scratch(spark) -> str:
     """A folder for versioned tables: the shared one where the session names it, a temporary one in local mode."""
     import tempfile
@@ -544,20 +524,3 @@ def read_current(spark, d):
     store.commit("orders", orders.where("o_orderkey % 2 = 0"), "create")
     store.commit("orders", orders, "all")
     return HistoricalReads(store, "orders").as_of_time("2030-01-01").read_current().get()
-
-
-@query("SELECT n_nationkey AS id, n_name, n_regionkey FROM nation WHERE n_regionkey <> 2 AND n_nationkey % 5 <> 3")
-def stream_apply_equals_batch(spark, d):
-    """Every nation changes twice; those of one region aren't kept, and some are removed in the end."""
-    from .sources.store import SnapshotStore
-    from .streaming.apply import apply_changes
-
-    root, nations = _scratch(spark), load(spark, d, "nation")
-    spec = M.MirrorSpec("nation", "nations", "id", "n_nationkey", None, F.col("n_regionkey") != 2)
-    mirror = M.Mirror(spec, SnapshotStore(spark, root), lambda: nations)
-    mirror.create()
-    for action, given in (("sync", "true"), ("sync", "n_nationkey < 9"), ("remove", "n_nationkey % 5 = 3")):
-        M.change_rows(nations.where(given), "n_nationkey", action).write.mode("append").parquet(f"{root}/changes")
-        stream = spark.readStream.schema("key int, action string").parquet(f"{root}/changes")
-        apply_changes(stream, mirror, f"{root}/checkpoint").awaitTermination()
-    return mirror.read()
