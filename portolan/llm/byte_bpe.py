@@ -16,11 +16,10 @@ import base64
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, slices, table
+from .common import CACHE_ENTRIES, CACHE_LENGTH, byte_texts, slices, table
 
-#: A worker's pre-token cache is emptied beyond so many entries; longer pre-tokens aren't kept.
-CACHE_ENTRIES = 400_000
-CACHE_LENGTH = 64
+#: Bytes of text whose pre-tokens are held at once.
+PART_BYTES = 1 << 20
 
 _MODELS: dict = {}
 
@@ -142,7 +141,7 @@ def _batches(batches, path, pattern, decode):
 
     own = codec(path, pattern)
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, size=PART_BYTES):
             ids, edges = own.encode_flat([x.decode() for x in byte_texts(part)])
             columns = [part.column("key"), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids))]
             if decode:  # from the ids alone

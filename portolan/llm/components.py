@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -28,9 +28,11 @@ def components(links: DataFrame, kind: str) -> DataFrame:
         small = large.join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         own = least.select(F.col("k").alias("a"), F.col("m").alias("b"))
         step += 1
-        links = scratch.keep(small.union(own).distinct(), f"links-{step}")
+        seen = Observation()  # counted as it is written
+        new = small.union(own).distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
+        links = scratch.keep(new, f"links-{step}")
         scratch.drop(f"links-{step - 1}")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = seen.get
         if now == before:
             break
         before = now

@@ -1,7 +1,8 @@
 """Quality rules with adaptive thresholds.
 
 Every document gets whole-text measures; mergeable quantile sketches of the measures per language and source give
-thresholds, and the documents are joined with them. DataFrame functions only.
+thresholds, and the documents are joined with them: the thresholds are broadcast up to BROADCAST_GROUPS groups, and beyond
+that both sides shuffle, large groups cut by a salt. DataFrame functions only.
 
 A sketch is a log-linear histogram: a value keeps its PRECISION_BITS leading bits, so a bucket's relative error is at
 most 2**(1-PRECISION_BITS), buckets of two sketches add up, and the result doesn't depend on the order of merging.
@@ -25,6 +26,8 @@ WINDOW = 8
 PRECISION_BITS = 7
 #: Groups with fewer rows use the language's sketch, and languages with fewer the whole corpus's.
 MIN_ROWS = 200
+#: Groups whose thresholds are broadcast, and rows of a group that get one salt beyond them.
+BROADCAST_GROUPS, SALT_ROWS = 1 << 16, 1 << 20
 #: Tukey-like fences: quartile plus SPREAD interquartile ranges plus the measure's slack.
 SPREAD = 3
 #: Measure: (slack, lower fence too). In thousandths of words or of word characters; word_length in hundredths.
@@ -128,7 +131,7 @@ def _limits(row, measure: str) -> Column:
 
 
 def thresholds(sketches: DataFrame) -> DataFrame:
-    """One row for each (lang, source) in the sketches: <measure>_lo and <measure>_hi, lo null where there's no lower fence."""
+    """One row for each (lang, source) in the sketches: its rows, <measure>_lo and <measure>_hi, lo null where there's no lower fence."""
     keys = [(["lang", "source"], "a"), (["lang"], "b"), ([], "c")]
     wide = []
     for cols, tag in keys:
@@ -146,7 +149,7 @@ def thresholds(sketches: DataFrame) -> DataFrame:
     for m, (_, low) in MEASURES.items():
         best = F.when(F.col("a_n") >= MIN_ROWS, F.col(f"a_{m}")).when(F.col("b_n") >= MIN_ROWS, F.col(f"b_{m}")).otherwise(_limits(whole, m))
         out += [best["hi"].alias(f"{m}_hi")] + ([best["lo"].alias(f"{m}_lo")] if low else [])
-    return joined.select("lang", "source", *out)
+    return joined.select("lang", "source", F.col("a_n").alias("rows"), *out)
 
 
 def judge(measured: DataFrame, limits: DataFrame, lang: Column, source: Column) -> DataFrame:
@@ -154,13 +157,23 @@ def judge(measured: DataFrame, limits: DataFrame, lang: Column, source: Column)
     mine = measured.withColumns({"q_lang": lang, "q_source": source})
     theirs = limits.withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
     on = F.col("q_lang").eqNullSafe(F.col("t_lang")) & F.col("q_source").eqNullSafe(F.col("t_source"))
+    if limits.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        joined = mine.join(F.broadcast(theirs), on, "left")
+    else:  # rows without a group of their own in the sketches take salt 0
+        salts = F.ceil(F.col("rows") / SALT_ROWS)
+        many = theirs.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
+        wide = theirs.where(salts > 1).select(F.col("t_lang").alias("w_lang"), F.col("t_source").alias("w_source"), salts.alias("salts"))  # few: each has SALT_ROWS rows
+        of = F.col("q_lang").eqNullSafe(F.col("w_lang")) & F.col("q_source").eqNullSafe(F.col("w_source"))
+        mine = mine.join(F.broadcast(wide), of, "left").drop("w_lang", "w_source")
+        mine = mine.withColumn("q_salt", F.pmod(F.xxhash64("n_words", "word_chars", "n_symbols", "n_repeat_words"), F.coalesce("salts", F.lit(1).cast("long"))))
+        joined = mine.join(many.hint("merge"), on & (F.col("q_salt") == F.col("salt")), "left")
     ok = []
     for m, v in _measures().items():
         ok.append(v <= F.coalesce(F.col(f"{m}_hi"), v))
         if MEASURES[m][1]:
             ok.append(v >= F.coalesce(F.col(f"{m}_lo"), v))
     kept = ~F.col("base_failed") & reduce(and_, ok)
-    return mine.join(theirs, on, "left").withColumn("kept", kept).select(*measured.columns, "kept")
+    return joined.withColumn("kept", kept).select(*measured.columns, "kept")
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: list[str] | None = None) -> DataFrame:
@@ -172,9 +185,10 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     fields = keep if keep is not None else docs.columns
     need = list(dict.fromkeys([*fields, lang, source]))
     measured = measured.withColumn("row", F.struct(*[F.col("row")[c].alias(c) for c in need]))
-    measured = Scratch(docs.sparkSession).keep(measured, "measured")
+    scratch = Scratch(docs.sparkSession)
+    measured = scratch.keep(measured, "measured")
     by = (F.col("row")[lang], F.col("row")[source])
-    return judge(measured, thresholds(sketch(measured, *by)), *by)
+    return judge(measured, scratch.keep(thresholds(sketch(measured, *by)), "thresholds"), *by)
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:

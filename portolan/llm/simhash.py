@@ -3,15 +3,11 @@
 Fingerprints are laid out in tiles of equal population counts: the 64 bits are cut into `parts` equal parts, and a
 tile holds fingerprints with the same count of set bits in each part. Two tiles are compared only if their counts
 differ by no more than the radius in all; a larger difference proves that no pair of theirs links. Tiles are compared
-with numpy: exclusive-or, then bit counts. A pair of tiles gives a spanning forest of its links, not the links
-themselves, so copies never expand into pairs, and no link between components is lost.
-
-Where links are held to the texts, a forest won't do: a false link may stand in it for a true one. A pair of tiles then
-gives the trees' fingerprints, as groups; each group's texts are brought together once, and every link of theirs between
-components that aren't joined yet is held to the texts.
+with numpy: exclusive-or, then bit counts. A pair of tiles gives what its links join, each node with the first of its
+component, not the links themselves, so copies never expand into pairs, and no link between components is lost.
 
 Equal fingerprints are one node. Tiles are packed into binary rows of TILE fingerprints at most; the counts' cells that
-hold more are cut into several tiles.
+hold more are cut into several tiles. near_dedup.py lays out wide fingerprints in the same tiles.
 
 Defined results: a text without words has fingerprint zero, linked like any other; null is such a text; null keys
 come last, so they name a component only if it has no other; repeated rows return as often as they occur; other
@@ -27,10 +23,8 @@ from .common import Scratch, byte_texts, slices, table
 from .components import components
 
 TILE = 4096
-#: Rows and columns of a block of fingerprints that numpy compares at once.
-BLOCK = 1024
-#: Members of a side of a group whose texts are compared in one place.
-GROUP = 512
+#: Rows of a tile that numpy compares at once with the whole other tile.
+STRIP = 64
 SEED = 42
 
 
@@ -39,34 +33,35 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def fingerprint(words: list[bytes], width: int, seed: int = SEED, lanes: int = 1, unique: bool = False):
-    """The bits set in over half of the hashes of the word shingles (of the distinct ones if unique), as `lanes` 64-bit numbers.
+def shingles_of(words: list[bytes], width: int) -> list[bytes]:
+    """The runs of `width` words, joined by a space; of fewer words all, of none none."""
+    if len(words) <= width:
+        return [b" ".join(words)] if words else []
+    return list(map(b" ".join, zip(*[words[i:] for i in range(width)])))
+
 
-    One lane takes XXH64, two take the 128-bit XXH3.
-    """
+def majority(h):
+    """For each bit column of the hashes h (rows of bytes) whether it is set in over half of them, as 64-bit numbers."""
     import numpy as np
-    from xxhash import xxh64_digest, xxh128_digest
 
-    if not words:
-        return np.zeros(lanes, dtype=np.uint64)
-    if len(words) <= width:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = map(b" ".join, zip(*[words[i:] for i in range(width)]))
-    if unique:
-        shingles = set(shingles)
-    digest = (xxh64_digest, xxh128_digest)[lanes - 1]
-    h = np.frombuffer(b"".join([digest(x, seed) for x in shingles]), dtype=np.uint8).reshape(-1, 8 * lanes)
-    ones = np.zeros(64 * lanes, dtype=np.int64)
+    ones = np.zeros(8 * h.shape[1], dtype=np.int64)
     for a in range(0, len(h), 1 << 14):
         ones += np.unpackbits(h[a : a + (1 << 14)], axis=1).sum(axis=0, dtype=np.uint16)
     return np.packbits(2 * ones > len(h)).view(">u8").astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, keys: list[str], text: str, width: int, seed: int = SEED, lanes: int = 1, unique: bool = False) -> DataFrame:
-    """keys, and fp0 (and fp1) for each row: the fingerprint's lanes as signed longs."""
+def fingerprint(words: list[bytes], width: int, seed: int = SEED):
+    """The bits set in over half of the XXH64s of the word shingles, repeats included, as one 64-bit number in an array."""
+    import numpy as np
+    from xxhash import xxh64_digest
+
+    found = shingles_of(words, width)
+    return majority(np.frombuffer(b"".join([xxh64_digest(x, seed) for x in found]), dtype=np.uint8).reshape(-1, 8))
+
+
+def fingerprints(docs: DataFrame, keys: list[str], text: str, width: int, seed: int = SEED) -> DataFrame:
+    """keys, and the fingerprint fp0 of each row as a signed long."""
     rows = docs.select(*keys, F.col(text).alias("text"))
-    own = [f"fp{i}" for i in range(lanes)]
 
     def batches(parts):
         import numpy as np
@@ -74,74 +69,100 @@ def fingerprints(docs: DataFrame, keys: list[str], text: str, width: int, seed:
 
         for batch in parts:
             for part in slices(batch):
-                fps = [fingerprint(words_of(x), width, seed, lanes, unique) for x in byte_texts(part)]
-                fps = np.array(fps, dtype=np.uint64).reshape(-1, lanes).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), *(pa.array(fps[:, i]) for i in range(lanes))], names=[*keys, *own])
+                fps = [fingerprint(words_of(x), width, seed) for x in byte_texts(part)]
+                fps = np.concatenate([*fps, np.zeros(0, dtype=np.uint64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), pa.array(fps)], names=[*keys, "fp0"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
-    return rows.mapInArrow(batches, f"{kinds}, " + ", ".join(f"{x} long" for x in own))
+    return rows.mapInArrow(batches, f"{kinds}, fp0 long")
 
 
-def _forest(a, b, radius: int, same: bool):
-    """Spanning forest of the links within radius between fingerprint arrays a and b (a and a if same), as index pairs
-    of the concatenation of a and b, and each index's root; the nearest links of a block are taken first."""
+def stars(a, b, same: bool, radius: int, sizes=None, least: float = 0):
+    """What the links within radius between the rows of the fingerprint arrays a and b (a with itself if same) join: each
+    row and the first row of its component, as two arrays of indexes into the concatenation of a and b. With sizes (of a,
+    of b), a link's smaller size must be the share `least` of its larger one at least."""
     import numpy as np
 
-    n = len(a) if same else len(a) + len(b)
-    off = 0 if same else len(a)
-    root = np.arange(n)
-    kept: list = []
-    levels = range(radius, -1, -max(1, radius // 4))[::-1]
-    for i in range(0, len(a), BLOCK):
-        for j in range(i if same else 0, len(b), BLOCK):
-            apart = sum(np.bitwise_count(a[i : i + BLOCK, None, k] ^ b[None, j : j + BLOCK, k]) for k in range(a.shape[1]))
-            every = np.stack(np.nonzero(apart <= radius))
-            if not every.size:
-                continue
-            far = apart[every[0], every[1]]
-            for level in levels:
-                x, y = every[:, far <= level]
-                x, y = x + i, y + j + off
-                while len(x):
-                    rx, ry = root[x], root[y]
-                    open_ = rx != ry
-                    if not open_.any():
-                        break
-                    x, y, rx, ry = x[open_], y[open_], rx[open_], ry[open_]
-                    hi, lo = np.maximum(rx, ry), np.minimum(rx, ry)
-                    # each root takes one link to a smaller root: a forest, since roots only ever point down
-                    hi, first = np.unique(hi, return_index=True)
-                    kept.append(np.stack([x[first], y[first]]))
-                    root[hi] = lo[first]
-                    while True:
-                        up = root[root]
-                        if (up == root).all():
-                            break
-                        root = up
-    return np.concatenate(kept, axis=1) if kept else np.zeros((2, 0), dtype=np.int64), root
-
-
-def _groups(x, y, root, off: int):
-    """(name, side, members) of groups that hold both ends of every link of the trees of the forest x, y, in blocks of
-    GROUP members at most; off is where the second tile begins, 0 if there is none.
-
-    A group with one side only is compared with itself, else one side with the other.
-    """
-    import numpy as np
+    n, off = (len(a), 0) if same else (len(a) + len(b), len(a))
+    root, least = np.arange(n), least * (1 - 1e-12)  # rounding must not lose a link
+    for i in range(0, len(a), STRIP):
+        from_ = i if same else 0
+        apart = np.bitwise_count(a[i : i + STRIP, None, 0] ^ b[None, from_:, 0])
+        for k in range(1, a.shape[1]):
+            apart += np.bitwise_count(a[i : i + STRIP, None, k] ^ b[None, from_:, k])
+        x, y = np.nonzero(apart <= radius)
+        x, y = x + i, y + from_
+        if sizes is not None:
+            p, q = sizes[0][x], sizes[1][y]
+            fits = np.minimum(p, q) >= least * np.maximum(p, q)
+            x, y = x[fits], y[fits]
+        y = y + off
+        while len(x):
+            rx, ry = root[x], root[y]
+            apart_ = rx != ry
+            if not apart_.any():
+                break
+            x, y, rx, ry = x[apart_], y[apart_], rx[apart_], ry[apart_]
+            hi, lo = np.maximum(rx, ry), np.minimum(rx, ry)
+            # each root takes one link to a smaller root, so roots only ever point down
+            hi, first = np.unique(hi, return_index=True)
+            root[hi] = lo[first]
+            while True:
+                up = root[root]
+                if (up == root).all():
+                    break
+                root = up
+    x = np.nonzero(root != np.arange(n))[0]
+    return x, root[x]
+
+
+def tiled(dealt: DataFrame, numbers: dict[str, str], names: list[str] = ()) -> DataFrame:
+    """A row (cell, tile, one binary column for each of numbers and names) for each tile of dealt: the tile's numbers by
+    the little-endian type given, and its binary names one after the other, all in the order of their rows."""
+
+    def pack(batches):
+        import pyarrow as pa
+
+        at, held = None, []
 
-    nodes = np.unique(np.concatenate([x, y]))
-    nodes = nodes[np.argsort(root[nodes], kind="stable")]
-    for tree in np.split(nodes, np.nonzero(np.diff(root[nodes]))[0] + 1):
-        name = int(root[tree[0]])
-        sides = [tree[tree < off], tree[tree >= off]] if off else [tree]
-        blocks = [np.array_split(side, -(-len(side) // GROUP)) for side in sides]
-        for i, left in enumerate(blocks[0]):
-            for j, right in enumerate(blocks[-1]):
-                if off or i < j:
-                    yield f"{name}.{i}.{j}", 0, left
-                    yield f"{name}.{i}.{j}", 1, right
-                elif i == j:
-                    yield f"{name}.{i}.{j}", 0, left
+        def row():
+            body = [pa.array([b"".join(x)], pa.binary()) for x in zip(*held)]
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int64()), pa.array([at[1]], pa.int32()), *body], names=["cell", "tile", *numbers, *names])
+
+        import numpy as np
+
+        for batch in batches:
+            c, t = batch.column("cell").to_numpy(), batch.column("tile").to_numpy()
+            edges = [0, *(np.nonzero((np.diff(c) != 0) | (np.diff(t) != 0))[0] + 1).tolist(), len(c)]
+            columns = [batch.column(k).to_numpy().astype(kind) for k, kind in numbers.items()]
+            texts = [batch.column(k) for k in names]
+            for i, j in zip(edges, edges[1:]):
+                if i == j:
+                    continue
+                if (int(c[i]), int(t[i])) != at and held:
+                    yield row()
+                    held = []
+                at = (int(c[i]), int(t[i]))
+                held.append([*(x[i:j].tobytes() for x in columns), *(b"".join(x.slice(i, j - i).to_pylist()) for x in texts)])
+        if held:
+            yield row()
+
+    own = [*numbers, *names]
+    schema = "cell long, tile int, " + ", ".join(f"{x} binary" for x in own)
+    return dealt.select("cell", "tile", *own).repartition("cell", "tile").sortWithinPartitions("cell", "tile", *own).mapInArrow(pack, schema)
+
+
+def tile_pairs(tiles: DataFrame, near: DataFrame, own: list[str]) -> DataFrame:
+    """(same, a_*, b_*) for each pair of tiles of the cells (cell, other) of near: pairs meet by number first, then the
+    bodies join them by tile, so that no cell is gathered in one task. The joins shuffle, since tiles grow with the data."""
+    names = tiles.select("cell", "tile")
+    others = names.select(F.col("cell").alias("other"), F.col("tile").alias("tile2"))
+    pairs = near.join(names.hint("merge"), "cell").join(others.hint("merge"), "other").where("cell <> other or tile <= tile2")
+    a = tiles.select("cell", "tile", *[F.col(x).alias(f"a_{x}") for x in own])
+    b = tiles.select(F.col("cell").alias("other"), F.col("tile").alias("tile2"), *[F.col(x).alias(f"b_{x}") for x in own])
+    pairs = pairs.join(a.hint("merge"), ["cell", "tile"]).join(b.hint("merge"), ["other", "tile2"])
+    same = (F.col("cell") == F.col("other")) & (F.col("tile") == F.col("tile2"))
+    return pairs.select(same.alias("same"), *[f"{s}_{x}" for s in "ab" for x in own])
 
 
 def signature_deltas(parts: int, radius: int) -> list[tuple[int, ...]]:
@@ -160,60 +181,29 @@ def parts_for(n: int, radius: int) -> int:
     return 2 if n < 1 << 17 else 4 if n < 1 << 24 else 8
 
 
-def links(fps: DataFrame, radius: int, lanes: int = 1, parts: int | None = None, grouped: bool = False) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints fps (fp0, ...), as hex strings: a spanning forest of each pair of tiles.
-
-    If grouped, (group, side, node) of groups that hold both ends of every link.
-    """
-    spark = fps.sparkSession
-    scratch = Scratch(spark)
-    own = [f"fp{i}" for i in range(lanes)]
-    fps = scratch.keep(fps.select(*own), "fps")
+def links(fps: DataFrame, radius: int, parts: int | None = None) -> DataFrame:
+    """Pairs (a, b) of the distinct fingerprints fps (fp0), as hex strings, that join all that links join: a star for each
+    component of each pair of tiles."""
+    scratch = Scratch(fps.sparkSession)
+    fps = scratch.keep(fps.select("fp0"), "fps")
     parts = parts or parts_for(fps.count(), radius)
-    if lanes > 1 and parts > 1:
-        raise ValueError("wide fingerprints are laid out by their whole population count")
-    bits, base = 64 * lanes // parts, 64 * lanes // parts + 1
+    bits, base = 64 // parts, 64 // parts + 1
     weights = [base**p for p in range(parts)]
     mask = (1 << bits) - 1
 
     def count(p):
         if parts == 1:
-            return sum((F.bit_count(x) for x in own), F.lit(0))
+            return F.bit_count("fp0")
         return F.bit_count(F.shiftrightunsigned("fp0", p * bits).bitwiseAND(F.lit(mask)))
 
     cell = sum((count(p).cast("long") * weights[p] for p in range(parts)), F.lit(0).cast("long"))
     fps = fps.withColumn("cell", cell)
     cells = fps.groupBy("cell").agg(F.count("*").alias("n")).select("cell", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
     cells = scratch.keep(cells, "cells")
-    dealt = fps.join(cells, "cell").select("cell", F.pmod(F.xxhash64(*own), F.col("tiles")).cast("int").alias("tile"), *own)
+    dealt = fps.join(cells.hint("merge"), "cell").select("cell", F.pmod(F.xxhash64("fp0"), F.col("tiles")).cast("int").alias("tile"), "fp0")
+    tiles = scratch.keep(tiled(dealt, {"fp0": "<i8"}), "tiles")
 
-    def pack(groups):
-        import numpy as np
-        import pyarrow as pa
-
-        cell, tile, held = None, None, []
-        for batch in groups:
-            c, t, *f = (batch.column(i).to_numpy() for i in range(2 + lanes))
-            f = np.stack(f, axis=1)
-            edges = np.nonzero((np.diff(c) != 0) | (np.diff(t) != 0))[0] + 1
-            for part in np.split(np.arange(len(c)), edges) if len(c) else []:
-                at = (int(c[part[0]]), int(t[part[0]]))
-                if at != (cell, tile) and held:
-                    yield row(cell, tile, held, pa, np)
-                    held = []
-                cell, tile = at
-                held.append(f[part])
-        if held:
-            yield row(cell, tile, held, pa, np)
-
-    def row(cell, tile, held, pa, np):
-        body = np.concatenate(held).astype("<i8").tobytes()
-        return pa.RecordBatch.from_arrays([pa.array([cell], pa.int64()), pa.array([tile], pa.int32()), pa.array([body], pa.binary())], names=["cell", "tile", "body"])
-
-    tiles = dealt.repartition("cell", "tile").sortWithinPartitions("cell", "tile", *own).mapInArrow(pack, "cell long, tile int, body binary")
-    tiles = scratch.keep(tiles, "tiles")
-
-    # tile pairs: the cells that a cell may link with, itself first
+    # the cells that a cell may link with, itself first
     def digits(p):
         return F.expr(f"cast((cell div {weights[p]}) % {base} as int)")
 
@@ -224,145 +214,41 @@ def links(fps: DataFrame, radius: int, lanes: int = 1, parts: int | None = None,
     for p in range(parts):
         near = near.where((F.col(f"d{p}") + F.col(f"o.k{p}")).between(0, bits))
     near = near.select("cell", (F.col("cell") + F.col("o.by")).alias("other"))
-    # pairs of tiles that exist, by number first: bodies then meet them by tile, so that no cell is gathered in one task
-    names = tiles.select("cell", "tile")
-    pairs = near.join(names, "cell").join(names.select(F.col("cell").alias("other"), F.col("tile").alias("tile2")), "other")
-    pairs = pairs.where("cell <> other or tile <= tile2")
-    pairs = pairs.join(tiles.select("cell", "tile", F.col("body").alias("a")), ["cell", "tile"])
-    pairs = pairs.join(tiles.select(F.col("cell").alias("other"), F.col("tile").alias("tile2"), F.col("body").alias("b")), ["other", "tile2"])
-    pairs = pairs.select(((F.col("cell") == F.col("other")) & (F.col("tile") == F.col("tile2"))).alias("same"), F.concat_ws(".", "cell", "tile", "other", "tile2").alias("pair"), "a", "b")
 
-    def compare(groups):
+    def compare(batches):
         import numpy as np
         import pyarrow as pa
 
-        for batch in groups:
-            for same, pair, a, b in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                a, b = (np.frombuffer(v, "<u8").reshape(-1, lanes) for v in (a, b))
-                (x, y), root = _forest(a, b, radius, same)
-                if not len(x):
-                    continue
-                every = (a if same else np.concatenate([a, b])).astype(">u8")
-
-                def hexes(v):
-                    return pa.array([every[i].tobytes().hex() for i in v.tolist()])
-
-                if not grouped:
-                    yield pa.RecordBatch.from_arrays([hexes(x), hexes(y)], names=["a", "b"])
-                    continue
-                names, sides, members = zip(*_groups(x, y, root, 0 if same else len(a)))
-                many = [len(m) for m in members]
-                names = pa.array([f"{pair}.{n}" for n, k in zip(names, many) for _ in range(k)])
-                yield pa.RecordBatch.from_arrays([names, pa.array(np.repeat(sides, many), pa.int32()), hexes(np.concatenate(members))], names=["group", "side", "node"])
+        for batch in batches:
+            for same, a, b in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                a, b = (np.frombuffer(v, "<u8").reshape(-1, 1) for v in (a, b))
+                x, y = stars(a, b, same, radius)
+                if len(x):
+                    every = (a if same else np.concatenate([a, b]))[:, 0].tolist()
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{every[i]:016x}" for i in v.tolist()]) for v in (x, y)], names=["a", "b"])
 
-    return pairs.mapInArrow(compare, "group string, side int, node string" if grouped else "a string, b string")
+    return tile_pairs(tiles, near, ["fp0"]).mapInArrow(compare, "a string, b string")
 
 
-def hexed(lanes: int):
+def hexed():
     """The fingerprint's hex digits."""
-    return F.concat(*[F.lpad(F.lower(F.hex(f"fp{i}")), 16, "0") for i in range(lanes)])
+    return F.lpad(F.lower(F.hex("fp0")), 16, "0")
 
 
-def _alike(fps, sides, sets, radius: int, least: float) -> list[tuple[int, int]]:
-    """Spanning forest of the links of a group that are within radius and whose sets (sorted arrays) have a Jaccard
-    similarity of `least` at least: all links but those between nodes joined already are held to the sets."""
-    import numpy as np
-
-    n = len(fps)
-    root = np.arange(n)
-    rows, others = np.nonzero(sides == 0)[0], np.nonzero(sides == 1)[0]
-    sizes = np.array([len(s) for s in sets])
-    begins = np.cumsum(sizes) - sizes
-    kinds, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    mark = np.zeros(len(kinds), dtype=bool)
-    out = []
-    for x in rows.tolist():
-        y = others if len(others) else np.arange(x + 1, n)
-        y = y[root[y] != root[x]]
-        y = y[np.bitwise_count(fps[y] ^ fps[x]).sum(axis=1, dtype=np.int64) <= radius]
-        y = y[np.minimum(sizes[y], sizes[x]) >= least * np.maximum(sizes[y], sizes[x])]
-        if not len(y):
-            continue
-        own = flat[begins[x] : begins[x] + sizes[x]]
-        mark[own] = True
-        for part in np.split(y, np.nonzero(np.diff(np.cumsum(sizes[y]) >> 20))[0] + 1):
-            ends = np.cumsum(sizes[part])
-            at = np.arange(ends[-1]) + np.repeat(begins[part] - ends + sizes[part], sizes[part])
-            shared = np.diff(np.concatenate([[0], np.cumsum(mark[flat[at]])])[np.concatenate([[0], ends])])
-            for z in part[shared >= least * (sizes[x] + sizes[part] - shared)].tolist():
-                if root[z] != root[x]:
-                    root[root == root[z]] = root[x]
-                    out.append((x, z))
-        mark[own] = False
-    return out
-
-
-def verified(groups: DataFrame, ids: DataFrame, docs: DataFrame, keys: list[str], text: str, width: int, radius: int, least: float) -> DataFrame:
-    """Links (a, b) of the groups' nodes within radius whose texts' shingle sets have a Jaccard similarity of `least` at
-    least: enough to join all nodes that such links join.
-
-    ids: (fingerprint, keys) of the text that stands for each fingerprint. A group's texts are brought together once each:
-    2 * GROUP at most, however large a tree is.
-    """
-    ends = groups.join(ids, F.col("node") == F.col("fingerprint")).select(*keys, "group", "side", "node")
-    texts = docs.select(*keys, F.col(text).alias("text")).join(ends, keys).select("group", "side", "node", "text")
-    dealt = texts.repartition("group").sortWithinPartitions("group", "side", "node")
-
-    def judge(batches):
-        import numpy as np
-        import pyarrow as pa
-        from xxhash import xxh3_64_intdigest
-
-        def shingles(body: bytes):
-            words = words_of(body)
-            found = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
-            return np.array(sorted(map(xxh3_64_intdigest, found)), dtype=np.uint64)
-
-        def result(nodes, sides, sets):
-            fps = np.array([np.frombuffer(bytes.fromhex(v), ">u8") for v in nodes]).astype(np.uint64)
-            x, y = zip(*found) if (found := _alike(fps, np.array(sides), sets, radius, least)) else ((), ())
-            ends = [pa.array([nodes[i] for i in v], pa.string()) for v in (x, y)]
-            return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
-
-        at, last, nodes, sides, sets = None, None, [], [], []
-        for batch in batches:
-            for group, side, node, body in zip(*(batch.column(i).to_pylist() for i in range(3)), byte_texts(batch)):
-                if group != at and nodes:
-                    yield result(nodes, sides, sets)
-                    last, nodes, sides, sets = None, [], [], []
-                at = group
-                if (side, node) != last:  # rows that repeat
-                    last = (side, node)
-                    nodes.append(node)
-                    sides.append(side)
-                    sets.append(shingles(body))
-        if nodes:
-            yield result(nodes, sides, sets)
-
-    return dealt.mapInArrow(judge, "a string, b string")
-
-
-def near_duplicates(docs: DataFrame, keys: list[str], text: str = "text", width: int = 3, radius: int = 2, lanes: int = 1, unique: bool = False, least: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, keys: list[str], text: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
     """keys, fingerprint (hex) and least for each row; least is the smallest struct of keys (those with nulls last) of the
-    rows that links reach, itself included. With `least`, links are held to that Jaccard similarity of the texts; the keys
-    must then be without nulls, and tell texts apart."""
+    rows that links reach, itself included."""
     scratch = Scratch(docs.sparkSession)
-    own = [f"fp{i}" for i in range(lanes)]
-    marked = scratch.keep(fingerprints(docs, keys, text, width, lanes=lanes, unique=unique), "fingerprints")
+    marked = scratch.keep(fingerprints(docs, keys, text, width), "fingerprints")
     order = F.struct(*[x for k in keys for x in (F.col(k).isNull().alias(f"no_{k}"), F.col(k).alias(k))])
-    ids = marked.groupBy(*own).agg(F.min(order).alias("least"))
-    edges = links(ids, radius, lanes, grouped=least is not None)
-    if least is not None:
-        groups = scratch.keep(edges, "groups")
-        stand = ids.select(hexed(lanes).alias("fingerprint"), *[F.col("least")[k].alias(k) for k in keys])
-        edges = verified(groups, stand, docs, keys, text, width, radius, least)
-    found = components(edges, "string")
-    rooted = ids.select(hexed(lanes).alias("fingerprint"), "least").join(found, F.col("fingerprint") == F.col("node"), "left")
+    ids = marked.groupBy("fp0").agg(F.min(order).alias("least"))
+    found = components(links(ids, radius), "string")
+    rooted = ids.select(hexed().alias("fingerprint"), "least").join(found.hint("merge"), F.col("fingerprint") == F.col("node"), "left")
     rooted = scratch.keep(rooted.select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")), "rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("least"))
-    named = rooted.select("fingerprint", "root").join(named, "root").select(F.col("fingerprint").alias("f"), F.struct(*[F.col("least")[k].alias(k) for k in keys]).alias("least"))
-    marked = marked.select(*keys, hexed(lanes).alias("fingerprint"))
-    return marked.join(named, F.col("fingerprint") == F.col("f")).select(*keys, "fingerprint", "least")
+    named = rooted.select("fingerprint", "root").join(named.hint("merge"), "root").select(F.col("fingerprint").alias("f"), F.struct(*[F.col("least")[k].alias(k) for k in keys]).alias("least"))
+    marked = marked.select(*keys, hexed().alias("fingerprint"))
+    return marked.join(named.hint("merge"), F.col("fingerprint") == F.col("f")).select(*keys, "fingerprint", "least")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

@@ -12,16 +12,9 @@ from pyspark.sql import functions as F
 from .byte_bpe import encode
 from .common import table
 from .decontamination import without_contaminated
+from .near_dedup import one_of_each
 from .personal_data import redacted
 from .quality_rules import quality_rules
-from .simhash import near_duplicates
-from .substrings import NO_ID
-
-#: Near-duplicate documents: 128-bit fingerprints of distinct five-word shingles. Two documents with a Jaccard similarity
-#: of 0.8 have a cosine of 0.889, so 19.4 of 128 bits are expected to differ, with a deviation of 4; RADIUS leaves three
-#: deviations. Links are then held to the texts' own similarity.
-SHINGLE, LANES, RADIUS, SIMILARITY = 5, 2, 32, 0.8
-
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the quality rules keep."""
@@ -29,19 +22,6 @@ def keep_good(docs: DataFrame) -> DataFrame:
     return judged.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id (null last, then by the text's hash);
-    of rows alike in doc_id and text, one."""
-    rows = docs.select(
-        F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k1"),
-        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("k2"), F.col("text"),
-    )
-    found = near_duplicates(rows, ["k1", "k2"], width=SHINGLE, radius=RADIUS, lanes=LANES, unique=True, least=SIMILARITY)
-    first = found.where((F.col("k1") == F.col("least.k1")) & (F.col("k2") == F.col("least.k2"))).select("k1", "k2").distinct()
-    kept = rows.select("row", "k1", "k2").join(first, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
-    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
-
-
 def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item within its edit budget."""
     return without_contaminated(docs, benchmark)

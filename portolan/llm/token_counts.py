@@ -17,11 +17,8 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, slices, table
+from .common import CACHE_ENTRIES, CACHE_LENGTH, byte_texts, slices, table
 
-#: A worker's cache of missed pre-tokens is emptied beyond so many entries; longer pre-tokens aren't kept.
-CACHE_ENTRIES = 200_000
-CACHE_LENGTH = 64
 LIMIT = 512
 
 _COUNTERS: dict = {}

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from portolan.llm import simhash, stages
+from portolan.llm import near_dedup, simhash, stages
 from portolan.llm.decontamination import item_words
 from test_corpus_statistics import fences, measures
 from test_duplicates import edit, roots
@@ -69,8 +69,8 @@ def test_stages(spark, corpus):
     # near-dedup
     prints = [wide(r[1]) for r in want]
     alike = lambda a, b: len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
-    links = [(i, j) for i in range(len(want)) for j in range(i) if alike(want[i][1], want[j][1]) >= stages.SIMILARITY]
-    assert all((prints[i] ^ prints[j]).bit_count() <= stages.RADIUS for i, j in links)
+    links = [(i, j) for i in range(len(want)) for j in range(i) if alike(want[i][1], want[j][1]) >= near_dedup.SIMILARITY]
+    assert all((prints[i] ^ prints[j]).bit_count() <= near_dedup.RADIUS for i, j in links)
     root = roots(len(want), links)
     groups = collections.defaultdict(list)
     for r, k in zip(want, root):
@@ -79,7 +79,7 @@ def test_stages(spark, corpus):
     docs = corpus_pipeline.STAGES[1][1](spark, docs, folder)
     assert plain(docs.select("doc_id", "text").collect()) == plain(want) and docs.columns == columns
     ids = {r[0] for r in want}
-    near = {130 + i for i in range(15) if alike(rows[130 + i][1], rows[10 + i][1]) >= stages.SIMILARITY}
+    near = {130 + i for i in range(15) if alike(rows[130 + i][1], rows[10 + i][1]) >= near_dedup.SIMILARITY}
     assert near and not ids & {*range(120, 130), *near} and {*range(60, 100)} <= ids  # copies and near copies go, others stay
     # decontamination
     budget = int(25 * 0.2)
@@ -108,12 +108,12 @@ def test_pipeline_of_nothing(spark, corpus, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
-@pytest.mark.parametrize("group", [512, 16])
+@pytest.mark.parametrize("group", [2048, 16])
 def test_near_dedup_of_families(spark, group, monkeypatch):
-    """False links between variants of a text hide no true one."""
+    """False links between variants of a text hide no true one, in one place or over many blocks."""
     monkeypatch.setattr(simhash, "TILE", 64)
-    monkeypatch.setattr(simhash, "BLOCK", 32)
-    monkeypatch.setattr(simhash, "GROUP", group, raising=False)
+    monkeypatch.setattr(simhash, "STRIP", 32)
+    monkeypatch.setattr(near_dedup, "GROUP", group)
     rng = random.Random(2)
     texts = []
     for f in range(3):
@@ -125,10 +125,29 @@ def test_near_dedup_of_families(spark, group, monkeypatch):
             texts.append(" ".join(w))
     texts = list(dict.fromkeys(texts))
     prints, sets = [wide(t) for t in texts], [shingles(t) for t in texts]
-    near = [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= stages.RADIUS]
-    links = [(i, j) for i, j in near if len(sets[i] & sets[j]) >= stages.SIMILARITY * len(sets[i] | sets[j])]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= near_dedup.RADIUS]
+    links = [(i, j) for i, j in near if len(sets[i] & sets[j]) >= near_dedup.SIMILARITY * len(sets[i] | sets[j])]
     assert len(near) > 2 * len(links) > 0
     want = {i for i, k in enumerate(roots(len(texts), links)) if i == k}
     rows = [(i, t, "en", "s", len(t), "x", None) for i, t in enumerate(texts)]
     got = stages.one_of_each(spark.createDataFrame(rows + rows[:3], SCHEMA).repartition(3)).collect()
     assert sorted(r.doc_id for r in got) == sorted(want)
+
+
+def test_near_dedup_of_odd_rows(spark):
+    """Ids of any type, nulls, empty texts, repeated rows and clashing columns."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [("b", base, "x"), ("a", base + " more", "y"), (None, base, "z"), ("a", base + " more", "y"), ("c", "", "n"), ("d", None, "n"), ("e", "few words", "n"), (None, None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, node string").withColumns({"k1": F.lit(1), "hit": F.lit("h"), "row": F.lit("r")})
+    got = near_dedup.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == [("a", base + " more"), ("c", ""), ("e", "few words")]
+    assert near_dedup.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_size_classes_are_exact():
+    bounds = near_dedup.size_classes(0.8, 5000)
+    for m, n in ((m, n) for m in range(1, 300) for n in range(m, 400)):
+        if 5 * m >= 4 * n:
+            a, b = (sum(x <= v for x in bounds) for v in (m, n))
+            assert b - a <= 1
