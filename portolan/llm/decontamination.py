@@ -6,26 +6,33 @@ around each hit, Myers' bit-parallel distance, with words as symbols, tells whet
 and where. Words are lower-cased (A-Z) and stripped of the ASCII punctuation at their ends.
 
 Items reach the workers in blocks of BLOCK_WORDS words at most, each a pass over the texts, so that what is broadcast
-is bounded whatever the benchmark's size. Texts never leave their partition.
-
-Defined results: null or empty texts match nothing; items of fewer than MIN_WORDS words are too short to be evidence
-and are left out; equal items are matched once each; null doc_ids and repeated rows are rows like any other; the
-columns of the texts are returned as they are, whatever their names; empty tables give empty results.
+is bounded whatever the benchmark's size; each pass but the last is written before the next block is made. Texts never
+leave their partition.
+
+Defined results: null or empty texts and items match nothing; items of any length are matched, those of few words with
+the budget that is theirs (none below five words), but rows are removed for items of EVIDENCE_WORDS words at least, since
+shorter ones are in clean texts too; equal items are matched once each; of passages with equal distance the first is
+reported; ids are of any type; null ids and repeated rows are rows like any other; the columns of the texts are returned
+as they are, whatever their names; empty tables give empty results.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, slices, table
+from .common import CACHE_ENTRIES, CACHE_LENGTH, Scratch, byte_texts, slices, table
 
 ERROR_RATE = 0.2
-MIN_WORDS = 8
+#: The least words of an item for which rows are removed, by default.
+EVIDENCE_WORDS = 8
 BLOCK_WORDS = 1 << 20
+#: Piece hits that are held at once, about.
+HITS = 1 << 18
 #: ASCII punctuation, as string.punctuation has it.
 EDGES = rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
-CACHE_ENTRIES = 400_000
 
 
 def item_words(text: bytes) -> list[bytes]:
@@ -77,7 +84,7 @@ class Index:
 
         from .substrings import span_names
 
-        self.ids = [i for i, _ in items]
+        self.ids, self.hits = [i for i, _ in items], HITS
         self.words: dict[bytes, int] = {}
         self.items = [[self.words.setdefault(w, len(self.words) + 1) for w in ws] for _, ws in items]
         self.budgets = [int(len(ws) * error_rate + 1e-9) for _, ws in items]
@@ -93,7 +100,7 @@ class Index:
             self.pieces[size] = (np.array(names, dtype=np.uint64), np.array(which), np.array(offset))
 
     def candidates(self, x, bounds, text):
-        """(item, text, diagonal) of the piece hits in the concatenated word numbers x, without repetitions."""
+        """Arrays of (item, text, diagonal), sorted, of the piece hits in the concatenated word numbers x, some `hits` at a time."""
         import numpy as np
 
         from .substrings import span_names
@@ -101,7 +108,6 @@ class Index:
         n = len(x)
         ends = np.append(bounds, n)
         known = np.concatenate([[0], np.cumsum(x == 0)])
-        out = []
         for size, (names, which, offset) in self.pieces.items():
             if n < size:
                 continue
@@ -111,28 +117,36 @@ class Index:
             lo, hi = np.searchsorted(names, own, side="left"), np.searchsorted(names, own, side="right")
             hit = np.nonzero(hi > lo)[0]
             many = hi[hit] - lo[hit]
-            entry = np.repeat(lo[hit] - np.concatenate([[0], np.cumsum(many)[:-1]]) if len(hit) else lo[hit], many) + np.arange(many.sum())
-            place = np.repeat(at[hit], many)
-            out.append(np.stack([which[entry], text[place], place - offset[entry]], axis=1))
-        out = [o for o in out if len(o)]
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), dtype=np.int64)
+            upto = np.cumsum(many)
+            for part in np.split(np.arange(len(hit)), np.nonzero(np.diff(upto // self.hits))[0] + 1):
+                if len(part):
+                    m = many[part]
+                    entry = np.repeat(lo[hit[part]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                    place = np.repeat(at[hit[part]], m)
+                    yield np.unique(np.stack([which[entry], text[place], place - offset[entry]], axis=1), axis=0)
 
     def matches(self, x, bounds, begins, sizes, text):
         """(text, item, distance, first word, end word) of the best passage of each item near each hit, one an item and text."""
         found: dict = {}
         words = x.tolist()
-        reach = (-1, -1, -1)
-        for k, t, diagonal in self.candidates(x, bounds, text).tolist():
-            item, budget = self.items[k], self.budgets[k]
-            if (k, t) == reach[:2] and diagonal <= reach[2]:
-                continue  # the last window held it
-            begin, end = int(begins[t]), int(begins[t] + sizes[t])
-            a, b = max(begin, diagonal - 2 * budget), min(end, diagonal + len(item) + 2 * budget)
-            distance, stop = myers(item, words[a:b])
-            reach = (k, t, diagonal + budget)
-            if distance <= budget and distance < found.get((t, k), (budget + 1,))[0]:
-                _, back = myers(item[::-1], words[a : a + stop][::-1])
-                found[t, k] = (distance, a + stop - back - begin, a + stop - begin)
+        for part in self.candidates(x, bounds, text):
+            reach = (-1, -1, -1)
+            for k, t, diagonal in part.tolist():
+                item, budget = self.items[k], self.budgets[k]
+                if (k, t) == reach[:2] and diagonal <= reach[2]:
+                    continue  # the last window held it
+                best = found.get((t, k), (budget + 1, 0))
+                if best[0] == 0 and best[1] <= diagonal - int(begins[t]):
+                    continue  # an exact passage that comes first is the best
+                begin, end = int(begins[t]), int(begins[t] + sizes[t])
+                a, b = max(begin, diagonal - 2 * budget), min(end, diagonal + len(item) + 2 * budget)
+                distance, stop = myers(item, words[a:b])
+                reach = (k, t, diagonal + budget)
+                if distance <= budget:
+                    _, back = myers(item[::-1], words[a : a + stop][::-1])
+                    own = (distance, a + stop - back - begin, a + stop - begin)
+                    if own < best:
+                        found[t, k] = own
         return [(t, k, *v) for (t, k), v in found.items()]
 
 
@@ -147,26 +161,35 @@ class Numbers(dict):
         self.words = words
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = n = self.words.get(word.strip(EDGES), 0)
+        n = self.words.get(word.strip(EDGES), 0)
+        if len(word) <= CACHE_LENGTH:
+            self[word] = n
         return n
 
 
-def blocks(benchmark: DataFrame, item: str, text: str):
-    """Lists of (id, words), each of BLOCK_WORDS words at most, one item at least."""
+def blocks(benchmark: DataFrame, text: str, least: int):
+    """Lists of (number, words) of the items with `least` words at least, each list of BLOCK_WORDS words at most, one item at
+    least; benchmark has each item's number."""
     held, size = [], 0
-    for row in benchmark.select(F.col(item).alias("i"), F.col(text).alias("t")).toLocalIterator():
+    for row in benchmark.select("number", F.col(text).alias("t")).toLocalIterator():
         words = item_words((row["t"] or "").encode())
-        if len(words) < MIN_WORDS:
+        if len(words) < max(least, 1):
             continue
         if held and size + len(words) > BLOCK_WORDS:
             yield held
             held, size = [], 0
-        held.append((row["i"], words))
+        held.append((row["number"], words))
         size += len(words)
     if held:
         yield held
 
 
+def numbered(benchmark: DataFrame, item: str, text: str) -> DataFrame:
+    """(number, item, text): each row's number, written, so that a number stays a row's."""
+    rows = benchmark.select(F.monotonically_increasing_id().alias("number"), F.col(item).alias("item"), F.col(text).alias("text"))
+    return Scratch(benchmark.sparkSession).keep(rows, "items")
+
+
 def _found(part, index: Index):
     import numpy as np
 
@@ -184,10 +207,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     """(key, item, distance, budget, first_word, end_word): the best passage of each text for each item within its budget."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kinds = (rows.schema["key"].dataType.simpleString(), benchmark.schema[item].dataType.simpleString())
-    schema = f"key {kinds[0]}, item {kinds[1]}, distance int, budget int, first_word int, end_word int"
-    out = None
-    for block in blocks(benchmark, item, item_text):
+    names = ["key", "number", "distance", "budget", "first_word", "end_word"]
+    schema = f"key {rows.schema['key'].dataType.simpleString()}, number long, distance int, budget int, first_word int, end_word int"
+    items = numbered(benchmark, item, item_text)
+    out, last = [], None
+    for block in blocks(items, "text", 1):
+        if last is not None:
+            out.append(_written(spark, *last))
         told = spark.sparkContext.broadcast(Index(block, error_rate))
 
         def batches(parts, told=told):
@@ -199,31 +225,33 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
                     found = sorted(_found(part, index))
                     if found:
                         t, k, *rest = zip(*found)
-                        item_ids = pa.array([index.ids[i] for i in k], schema_item(kinds[1]))
                         numbers = [pa.array(v, pa.int32()) for v in (rest[0], [index.budgets[i] for i in k], *rest[1:])]
-                        yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(t)), item_ids, *numbers], names=["key", "item", "distance", "budget", "first_word", "end_word"])
-
-        found = rows.mapInArrow(batches, schema)
-        out = found if out is None else out.unionAll(found)
-    if out is None:
-        out = spark.createDataFrame([], schema)
-    return out.withColumnsRenamed({"key": key, "item": item})
+                        yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(t)), pa.array([index.ids[i] for i in k], pa.int64()), *numbers], names=names)
 
+        last = (rows.mapInArrow(batches, schema), told)
+    found = spark.createDataFrame([], schema) if last is None else reduce(DataFrame.unionAll, [*out, last[0]])
+    found = found.join(items.select("number", "item"), "number")
+    return found.select(F.col("key").alias(key), F.col("item").alias(item), *names[2:])
 
-def schema_item(kind: str):
-    import pyarrow as pa
 
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+def _written(spark, found: DataFrame, told) -> DataFrame:
+    """found, written; its broadcast goes."""
+    out = Scratch(spark).keep(found, "found")
+    told.destroy()
+    return out
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", error_rate: float = ERROR_RATE) -> DataFrame:
-    """The rows of docs in which no item matches, with all their columns."""
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", error_rate: float = ERROR_RATE, least: int = EVIDENCE_WORDS) -> DataFrame:
+    """The rows of docs in which no item of `least` words or more matches, with all their columns."""
     spark = docs.sparkSession
-    out = docs
-    for block in blocks(benchmark, item, item_text):
-        told = spark.sparkContext.broadcast(Index(block, error_rate))
-
-        def batches(parts, told=told):
+    out, last = docs, None
+    items = benchmark.select(F.lit(0).alias("number"), F.col(item_text).alias("text"))
+    for block in blocks(items, "text", least):
+        if last is not None:
+            out = _written(spark, out, last)
+        last = spark.sparkContext.broadcast(Index(block, error_rate))
+
+        def batches(parts, told=last):
             import numpy as np
             import pyarrow as pa
 
