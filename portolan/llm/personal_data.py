@@ -33,17 +33,29 @@ EMAIL = (
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-HIDDEN_EMAIL = (
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.) ?[A-Za-z0-9-]{1,63}){1,4}"
-)
-SECRET = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|(?i:password|passwd|pwd|secret|token|api_?key)[=:][\x21-\x7E]{6,128})(?![A-Za-z0-9])"
+_AT, _DOT = r"(?:\(at\)|\[at\]|\{at\})", r"(?:\(dot\)|\[dot\]|\{dot\})"
+HIDDEN_EMAIL = rf"(?<!{LOCAL}){LOCAL}++ ?{_AT} ?{LABEL}++(?:(?: ?{_DOT} ?|\.){LABEL}++)++"
+SECRET = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:password|passwd|pwd|secret|token|api_?key)[=:][\x21-\x7E]{6,}+)"
 LOCAL_PHONE = r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-NAME = r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Sr|Sra|Mme)\.? [A-Z][a-z]{1,24}(?: [A-Z][a-z]{1,24})?(?![A-Za-z])"
+NAME = r"(?<![A-Za-z])(?:Mrs?|Ms|Dr|Prof|Herr|Frau|Sra?|Mme)\.? \p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++)?(?!\p{L})"
 
 # Gazetteers and cue words.
+GIVEN_AND_FAMILY_NAMES = [
+    "Adams", "Ahmed", "Alexander", "Ali", "Allen", "Anderson", "Andrea", "Anna", "Anne", "Antonio", "Baker", "Barbara", "Bauer", "Becker", "Bernard",
+    "Brown", "Campbell", "Carlos", "Carmen", "Carter", "Charles", "Chen", "Clark", "Claire", "Daniel", "David", "Davis", "Diaz", "Dubois", "Durand",
+    "Edwards", "Elena", "Elizabeth", "Emma", "Evans", "Fernandez", "Fischer", "Garcia", "George", "Gomez", "Gonzalez", "Green", "Hall", "Hans", "Harris",
+    "Hernandez", "Hill", "Hoffmann", "Hughes", "Jackson", "James", "Jean", "Jennifer", "Johnson", "Jones", "Jose", "Juan", "Julia", "Karen", "King",
+    "Klaus", "Klein", "Koch", "Kumar", "Laura", "Laurent", "Lee", "Lefebvre", "Lewis", "Linda", "Li", "Lopez", "Louis", "Luis", "Marie", "Maria",
+    "Mark", "Martin", "Martinez", "Mary", "Mason", "Meyer", "Michael", "Miller", "Mitchell", "Mohamed", "Moore", "Moreau", "Morgan", "Müller", "Nelson",
+    "Nguyen", "Olivia", "Parker", "Patel", "Patricia", "Paul", "Perez", "Peter", "Petit", "Phillips", "Pierre", "Ramirez", "Richard", "Richter", "Robert",
+    "Roberts", "Robinson", "Rodriguez", "Rousseau", "Ruiz", "Sanchez", "Sarah", "Schmidt", "Schneider", "Schulz", "Scott", "Simon", "Singh", "Smith",
+    "Sophie", "Stewart", "Susan", "Taylor", "Thomas", "Thompson", "Torres", "Turner", "Wagner", "Walker", "Wang", "Weber", "White", "William", "Williams",
+    "Wilson", "Wolf", "Wright", "Young", "Zhang",
+]
 TOP_DOMAINS = ["com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu", "it", "nl", "ch", "at", "us", "ca"]
+IBAN_LANDS = "^(?:AD|AE|AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IS|IT|LI|LT|LU|LV|MC|MT|NL|NO|PL|PT|RO|SA|SE|SI|SK|SM|TR)"
 CUES = {
     "email": "mail|contact|write|reply|correo|courriel", "ip": r"\bip\b|address|host|server|login", "card": "card|visa|credit|carte|karte|tarjeta",
     "phone": "phone|tel|call|fax|mobile|cell|appel|anruf", "secret": "key|secret|login|user|access|credential", "social": "ssn|social|security",
@@ -84,7 +96,7 @@ KINDS = [
     ("local_phone", LOCAL_PHONE, "[0-9]", _always),
     ("social", SOCIAL, "[0-9]", lambda m: ~m.rlike(r"^(?:000|666|9..)|-00-|-0000$")),
     ("iban", IBAN, "[A-Z]{2}[0-9]", _always),
-    ("name", NAME, "(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Sr|Sra|Mme)", _always),
+    ("name", NAME, "(?:Mrs?|Ms|Dr|Prof|Herr|Frau|Sra?|Mme)", _always),
 ]
 BASE = 4
 LABELERS = 5
@@ -129,7 +141,7 @@ def _votes(s: Column) -> Column:
     pattern = (
         F.when(is_("email", "card", "phone", "secret", "social", "iban", "hidden_email"), plus)
         .when(is_("ip"), F.when(body.rlike(r"^(?:0|127|255)\."), minus).otherwise(plus))
-        .when(is_("local_phone"), F.when(body.rlike(r"^\(?[2-9]"), plus).otherwise(minus)).otherwise(none)
+        .when(is_("local_phone"), plus).otherwise(none)
     )
     last = F.lower(F.regexp_extract(body, r"([A-Za-z]+)$", 1))
     known = (
@@ -137,8 +149,10 @@ def _votes(s: Column) -> Column:
         .when(is_("card"), F.when(body.rlike("^(?:4|5[1-5]|3[47]|6)"), plus).otherwise(minus))
         .when(is_("phone"), F.when(body.rlike(r"^\+(?:1|7|2[07]|3[0-69]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"), plus).otherwise(minus))
         .when(is_("secret"), F.when(body.rlike("^AKIA"), plus).otherwise(none))
-        .when(is_("local_phone"), F.when(body.rlike(r"555"), plus).otherwise(none))
-        .when(is_("name"), plus).otherwise(none)
+        # the North American plan: area codes and exchanges begin with 2 to 9, and N11 are services
+        .when(is_("local_phone"), F.when(_digits(body).rlike("^(?:[2-9](?!11)[0-9]{2}){2}"), plus).otherwise(minus))
+        .when(is_("iban"), F.when(body.rlike(IBAN_LANDS), plus).otherwise(minus))
+        .when(is_("name"), F.when(body.rlike(r"(?<!\p{L})(?:" + "|".join(GIVEN_AND_FAMILY_NAMES) + r")(?!\p{L})"), plus).otherwise(none)).otherwise(none)
     )
     cue = none
     for name, words in CUES.items():
