@@ -1,14 +1,17 @@
 """License scans: winnowed fingerprints in an inverted index pick candidates, banded alignment verifies them.
 
-Templates and texts are cut into words (lower-cased A-Z, without ASCII punctuation at their ends). A text's k-word
-fingerprints are winnowed: of each WINDOW consecutive ones the least stays, so a shared run of K + WINDOW - 1 words
-always shares one; a template shorter than that is looked up by all its fingerprints. The inverted index gives the templates and places of those that stay; hits of one template on near
-diagonals are one candidate, which a banded local alignment of words scores. Reported are candidates whose matched
-words cover MIN_COVERAGE of the template, with the words' and characters' spans.
+Templates and texts are cut into words (lower-cased A-Z, without ASCII punctuation at their ends). A text's K-word
+fingerprints are winnowed: of each WINDOW consecutive ones the least stays, so a shared run of K + WINDOW - 1 = 4 words
+always shares one. Where a fifth of a template's words are others, a run of 4 stands unchanged in those of more than SHORT
+words, of 3 in those of 6 to SHORT and of 2 in those of 5: these are looked up by all their fingerprints, the shortest by
+those of 2 words. So no passage with that many words replaced is lost. The inverted index gives the templates and places
+of the fingerprints; hits of one template on near diagonals are one candidate, which a banded local alignment of words
+scores. Reported are candidates whose matched words cover MIN_COVERAGE of the template, with the words' and characters'
+spans.
 
 The index holds the templates only, so its size is that of the list of templates and it is sent to every worker.
 
-Defined results: null and empty texts match nothing; a template with fewer than K words is refused; of passages that
+Defined results: null and empty texts match nothing; a template with fewer than two words is refused; of passages that
 overlap the one with the best coverage is reported, then the longest; null doc_ids and repeated rows are rows like any other; other
 columns, whatever their names, aren't read; empty tables give empty results.
 """
@@ -20,11 +23,13 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, slices, table
-from .decontamination import CACHE_ENTRIES, Numbers, item_words
+from .common import CACHE_ENTRIES, byte_texts, slices, table
+from .decontamination import Numbers, item_words
 
 K = 3
 WINDOW = 2
+#: Templates up to so many words are looked up by all their fingerprints, those under 6 by fingerprints of 2 words.
+SHORT, SHORTEST, SHORTEST_K = 15, 5, 2
 MIN_COVERAGE = 0.8
 BASE = 0x9E3779B97F4A7C15
 
@@ -163,54 +168,68 @@ def align(template: list[int], words: list[int], diagonal: int, band: int) -> tu
     return best[1:]
 
 
+def with_tags(templates: dict[str, list[str]]) -> dict[str, list[str]]:
+    """The templates, and each license's identifier tag as one more."""
+    return {k: [*texts, f"SPDX-License-Identifier: {k}"] for k, texts in templates.items()}
+
+
 class Templates:
-    """The inverted index: sorted fingerprint names with their templates and places."""
+    """The inverted index: for each fingerprint width its sorted names with their templates and places."""
 
     def __init__(self, templates: dict[str, list[str]], k: int = K, window: int = WINDOW):
         import numpy as np
 
         from .substrings import span_names
 
-        self.k, self.window = k, window
+        self.window = window
         self.labels, self.texts, self.words = [], [], {}
-        found, short = [], []
+        found: dict = {k: [], SHORTEST_K: []}
+        short: dict = {k: [], SHORTEST_K: []}
         for label, texts in templates.items():
             for text in texts:
                 own = [self.words.setdefault(w, len(self.words) + 1) for w in item_words(text.encode())]
-                if len(own) < k:
-                    raise ValueError(f"a template of {label} has fewer than {k} words")
+                if len(own) < SHORTEST_K:
+                    raise ValueError(f"a template of {label} has fewer than {SHORTEST_K} words")
+                width = SHORTEST_K if len(own) <= SHORTEST else k
                 x = np.array(own, dtype=np.uint64)
-                h = span_names(x, np.arange(len(x) - k + 1), np.arange(k, len(x) + 1), BASE)
-                places = winnow(h, np.array([0, len(h)]), window) if len(own) >= k + window - 1 else np.arange(len(h))
-                found += [(int(h[p]), len(self.texts), p) for p in places.tolist()]
-                short += [] if len(own) >= k + window - 1 else h.tolist()
+                h = span_names(x, np.arange(len(x) - width + 1), np.arange(width, len(x) + 1), BASE)
+                whole = len(own) <= SHORT
+                places = np.arange(len(h)) if whole else winnow(h, np.array([0, len(h)]), window)
+                found[width] += [(int(h[p]), len(self.texts), p) for p in places.tolist()]
+                short[width] += h.tolist() if whole else []
                 self.labels.append(label)
                 self.texts.append(own)
-        self.short = np.unique(np.array(short, dtype=np.uint64))
-        found.sort()
-        names, which, place = zip(*found)
-        self.names, self.which, self.place = np.array(names, dtype=np.uint64), np.array(which), np.array(place)
+        self.index = {}
+        for width, entries in found.items():
+            if entries:
+                names, which, place = zip(*sorted(entries))
+                self.index[width] = (np.array(names, dtype=np.uint64), np.array(which), np.array(place), np.unique(np.array(short[width], dtype=np.uint64)))
 
     def candidates(self, x, bounds, text):
-        """(text, template, diagonal) of the hits among the winnowed fingerprints of the word numbers x, sorted."""
+        """(text, template, diagonal) of the hits among the fingerprints of the word numbers x, sorted."""
         import numpy as np
 
         from .substrings import span_names
 
         n = len(x)
-        at = np.arange(max(n - self.k + 1, 0))
-        ends = np.append(bounds, n)[np.searchsorted(bounds, at, side="right")]
         known = np.concatenate([[0], np.cumsum(x == 0)])
-        at = at[(known[at + self.k] == known[at]) & (at + self.k <= ends)]
-        h = span_names(x, at, at + self.k, BASE)
-        # stretches of consecutive places are winnowed on their own, as fingerprints with unknown words never hit
-        starts = np.nonzero(np.append(True, np.diff(at) != 1))[0] if len(at) else np.zeros(0, dtype=np.int64)
-        kept = np.union1d(winnow(h, np.append(starts, len(at)), self.window), np.nonzero(np.isin(h, self.short))[0])
-        lo, hi = np.searchsorted(self.names, h[kept], side="left"), np.searchsorted(self.names, h[kept], side="right")
-        many = hi - lo
-        entry = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
-        place = np.repeat(at[kept], many)
-        return np.unique(np.stack([text[place], self.which[entry], place - self.place[entry]], axis=1), axis=0) if len(entry) else np.zeros((0, 3), np.int64)
+        out = [np.zeros((0, 3), np.int64)]
+        for k, (names, which, template_place, short) in self.index.items():
+            at = np.arange(max(n - k + 1, 0))
+            ends = np.append(bounds, n)[np.searchsorted(bounds, at, side="right")]
+            at = at[(known[at + k] == known[at]) & (at + k <= ends)]
+            h = span_names(x, at, at + k, BASE)
+            # stretches of consecutive places are winnowed on their own, as fingerprints with unknown words never hit
+            starts = np.nonzero(np.append(True, np.diff(at) != 1))[0] if len(at) else np.zeros(0, dtype=np.int64)
+            kept = np.nonzero(np.isin(h, short))[0]
+            if k > SHORTEST_K:
+                kept = np.union1d(winnow(h, np.append(starts, len(at)), self.window), kept)
+            lo, hi = np.searchsorted(names, h[kept], side="left"), np.searchsorted(names, h[kept], side="right")
+            many = hi - lo
+            entry = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+            place = np.repeat(at[kept], many)
+            out.append(np.stack([text[place], which[entry], place - template_place[entry]], axis=1))
+        return np.unique(np.concatenate(out), axis=0)
 
     def matches(self, x, bounds, begins, sizes, text, least: float = MIN_COVERAGE):
         """(text, template, matched, first word, end word), a text's spans apart from each other."""
@@ -243,10 +262,10 @@ _NUMBERS: dict = {}
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def license_matches(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, key: str = "doc_id", text: str = "text", least: float = MIN_COVERAGE) -> DataFrame:
+def license_matches(docs: DataFrame, templates: dict[str, list[str]] | None = None, key: str = "doc_id", text: str = "text", least: float = MIN_COVERAGE) -> DataFrame:
     """(key, license, template, coverage, first_word, end_word, first_char, end_char) for each passage; characters are
-    code points, ends exclusive; template counts the license's templates from 0."""
-    told = docs.sparkSession.sparkContext.broadcast(Templates(templates))
+    code points, ends exclusive; template counts the license's templates from 0. By default TEMPLATES and their tags."""
+    told = docs.sparkSession.sparkContext.broadcast(Templates(with_tags(TEMPLATES) if templates is None else templates))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     names = ["key", "license", "template", "coverage", "first_word", "end_word", "first_char", "end_char"]
     kinds = [rows.schema["key"].dataType.simpleString(), "string", "int", "double", "int", "int", "int", "int"]
