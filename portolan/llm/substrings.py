@@ -11,16 +11,17 @@ that it supports: one for 13 words, two from 32, three from 64.
 
 Phrases, the shortest sequences of the last round's symbols with PHRASE words at least, are named one level higher. The phrase of least
 name among those supported inside a window is the window's anchor; equal windows have equal anchors.
-Round 1 (Spark): anchors are dealt by name, and those that two rows share are told to all: by a bitmap of fixed size
-while they are few enough for it, else by sending them back to their rows.
-Round 2 (Spark): windows with a shared anchor, and the few without any anchor, are dealt by a 96-bit name of their
-words, and the least doc_id of each is found; windows with a smaller one than their own are sent back.
+Round 1 (Spark): anchors are dealt by name, and those that two rows share are told to all by a bitmap of fixed size,
+each bucket of names making its own stretch of it; a false hit costs a window sent in vain.
+Round 2 (Spark): windows with a shared anchor, and the few without any anchor, are dealt by a 96-bit name made of the
+symbols that stand inside them and of the words at their edges that no such symbol covers; the least doc_id of each is
+found, and windows with a smaller one than their own are sent back.
 Round 3: the words that such windows cover are removed.
 Names travel packed, a row for each slice of texts and bucket.
 
-Defined results: a null text has no words; a null doc_id counts as larger than any other; rows with the same doc_id
-and text have the same result and repeated rows return as often as they occur; other columns, whatever their names,
-aren't read; an empty table gives an empty result.
+Defined results: a null text has no words; a null doc_id counts as larger than any other; ids are whole numbers below
+2**63 - 1, others are refused; rows with the same doc_id and text have the same result and repeated rows return as often as
+they occur; other columns, whatever their names, aren't read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,20 +29,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_texts, slices, table
-from .packed import bucket_count, by_bucket, pack, runs
+from .common import CACHE_ENTRIES, CACHE_LENGTH, byte_texts, slices, table
+from .packed import bucket_count, by_bucket, pack, read_rows, runs
 
 WINDOW = 13
 PHRASE = 5
 NO_ID = (1 << 63) - 1
-#: A worker's cache of token names is emptied beyond so many tokens.
-CACHE_ENTRIES = 400_000
 
-#: Bits of the broadcast bitmap of shared anchors (16 MB), and the most names it is used for; beyond, rows are joined.
+#: Bits of the broadcast bitmap of shared anchors: 16 MB.
 FILTER_BITS = 1 << 27
-FILTER_NAMES = 1 << 23
-#: The slice number of rows that hold a bucket's shared names.
-SHARED = -(1 << 63)
+#: Names that a bucket takes in before it drops those that came three times.
+MERGE_NAMES = 1 << 20
 
 _NAMES: dict = {}
 
@@ -50,7 +48,9 @@ class Names(dict):
     def __missing__(self, token: bytes) -> int:
         from xxhash import xxh64_intdigest
 
-        self[token] = name = xxh64_intdigest(token, 7)
+        name = xxh64_intdigest(token, 7)
+        if len(token) <= CACHE_LENGTH:
+            self[token] = name
         return name
 
 
@@ -151,16 +151,41 @@ def rounds_for(window: int) -> int:
     return max(1, (window // 8).bit_length() - 1)
 
 
-def anchors(x, bounds, window: int = WINDOW, phrase: int | None = None, rounds: int | None = None):
+def recompressed(x, bounds, window: int = WINDOW, rounds: int | None = None) -> Symbols:
+    """The symbols that the rounds for this window leave of the tokens' names x; bounds: where the texts begin."""
+    symbols = tokens_as_symbols(x, bounds)
+    for number in range(rounds or rounds_for(window)):
+        symbols = next_round(symbols, number)
+    return symbols
+
+
+def window_names(x, symbols: Symbols, at, window: int):
+    """Two 64-bit names of the windows at the tokens `at`: of the symbols whose supports lie inside, of the words before the
+    first and after the last of them, and of how many words these are. Equal windows have equal parts."""
+    import numpy as np
+
+    lo = np.searchsorted(symbols.left, at)  # supports begin and end in the symbols' order
+    hi = np.maximum(lo, np.searchsorted(symbols.right, at + window, side="right"))
+    some, end = hi > lo, at + window
+    inner, outer = symbols.start[np.minimum(lo, len(symbols.start) - 1)], symbols.end[np.maximum(hi, 1) - 1]
+    inner, outer = np.where(some, inner, end), np.where(some, outer, end)
+    sizes = (inner - at).astype(np.uint64) << np.uint64(32) | (end - outer).astype(np.uint64)
+    out = []
+    for base, salt in ((0xD1342543DE82EF95, 0), (0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)):
+        words, own = (mix(v ^ np.uint64(salt)) if salt else v for v in (x, symbols.name))
+        parts = (span_names(words, at, inner, base), span_names(own, lo, hi, base), span_names(words, outer, end, base))
+        out.append(mix(mix(mix(parts[0] ^ sizes) + parts[1]) ^ parts[2]))
+    return out
+
+
+def anchors(x, bounds, window: int = WINDOW, phrase: int | None = None, rounds: int | None = None, symbols: Symbols | None = None):
     """(anchor, has, whole) for the window that starts at each token: its anchor's name, whether it has one, and whether the
     window fits into its text. Windows of the same tokens have the same anchor or none."""
     import numpy as np
 
     n = len(x)
     phrase = phrase or max(1, window * PHRASE // WINDOW)
-    symbols = tokens_as_symbols(x, bounds)
-    for number in range(rounds or rounds_for(window)):
-        symbols = next_round(symbols, number)
+    symbols = symbols or recompressed(x, bounds, window, rounds)
     name, s, e, left, right = symbols.name, symbols.start, symbols.end, symbols.left, symbols.right
     last = np.searchsorted(e, s + phrase)  # the symbol that makes the phrase long enough
     text_end = np.append(bounds, n)[symbols.text]
@@ -210,11 +235,13 @@ def _slice_rows(part):
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc_id, k1, k2, text): the row's identity is its id and its text's hash, whatever order rows come in."""
+    if docs.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{key} must be a column of whole numbers")
     t = F.coalesce(F.col(text), F.lit(""))
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("k1"), F.xxhash64(t).alias("k2"), t.alias("text"))
 
 
-def _send_anchors(batches, buckets: int, window: int):
+def _send_anchors(batches, buckets: int, window: int, bits: int):
     import numpy as np
 
     for batch in batches:
@@ -233,56 +260,43 @@ def _send_anchors(batches, buckets: int, window: int):
             new = np.ones(len(name), dtype=bool)
             new[1:] = (name[1:] != name[:-1]) | (text[1:] != text[:-1])
             name, text = name[new], text[new]
-            yield pack(slice_id, slice_id % buckets, keys=keys, docs=None, high=None, low=None)
-            yield from by_bucket(name % np.uint64(buckets), buckets, slice_id, {"keys": None}, docs=text.astype("<u2"), high=(name >> np.uint64(16)).astype("<u4"), low=name.astype("<u2"))
+            # once a name for a text, and no more than twice for a slice: two rows are enough
+            times = np.arange(len(name)) - np.searchsorted(name, name)
+            name = name[times < 2]
+            yield from by_bucket(name % np.uint64(bits) // np.uint64(bits // buckets), buckets, slice_id, high=(name >> np.uint64(16)).astype("<u4"), low=name.astype("<u2"))
 
 
-def _asked(rows):
-    """(slice, texts, names) of the rows of names, and the slices' keys."""
-    import numpy as np
-
-    asked, keyed = [], []
-    for slice_id, keys, docs, high, low in rows:
-        if keys is not None:
-            keyed.append((slice_id, keys))
-        elif slice_id != SHARED:
-            name = np.frombuffer(high, "<u4").astype(np.uint64) << np.uint64(16) | np.frombuffer(low, "<u2")
-            asked.append((slice_id, np.frombuffer(docs, "<u2"), name))
-    return asked, keyed
-
-
-def _find_shared(batches):
-    """The names in each bucket that at least two rows sent: a row (bucket, n, high, low) for each bucket with any."""
+def _find_shared(batches, buckets: int, bits: int, most: int):
+    """(bucket, bits): the bucket's stretch of the bitmap, with a bit for each name that at least two rows sent. Beyond 2 * most names
+    those that came three times are dropped."""
     import numpy as np
     import pyarrow as pa
 
-    for bucket, rows in runs(batches, "bucket", ["slice", "keys", "docs", "high", "low"]):
-        asked, _ = _asked(rows)
-        if not asked:
-            continue
-        every = np.sort(np.concatenate([x[2] for x in asked]))
-        shared = np.unique(every[1:][every[1:] == every[:-1]])
-        if len(shared):
-            blobs = ((shared >> np.uint64(16)).astype("<u4").tobytes(), shared.astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([len(shared)], pa.int64()), *(pa.array([x], pa.binary()) for x in blobs)], names=["bucket", "n", "high", "low"])
-
+    size = bits // buckets
 
-def _answer_anchors(batches):
-    """Sends the shared names back to the slices that asked for them."""
-    import numpy as np
+    def row(bucket, held):
+        every = np.sort(np.concatenate(held))
+        shared = every[1:][every[1:] == every[:-1]]
+        found = np.zeros(size, dtype=bool)
+        found[(shared % np.uint64(bits) % np.uint64(size)).astype(np.int64)] = True
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(found, bitorder="little").tobytes()], pa.binary())], names=["bucket", "bits"])
 
-    for _, rows in runs(batches, "bucket", ["slice", "keys", "docs", "high", "low"]):
-        asked, keyed = _asked(rows)
-        for slice_id, keys in keyed:
-            yield _answer(slice_id, keys, None, None)
-        told = next(((high, low) for slice_id, keys, docs, high, low in rows if slice_id == SHARED and docs is None and keys is None), None)
-        if told is None:
-            continue
-        shared = np.frombuffer(told[0], "<u4").astype(np.uint64) << np.uint64(16) | np.frombuffer(told[1], "<u2")
-        for slice_id, docs, name in asked:
-            found = np.append(shared, np.uint64(0))[np.searchsorted(shared, name)] == name
-            if found.any():
-                yield _answer(slice_id, None, docs[found].tobytes(), name[found].astype("<u8").tobytes())
+    at, held, many = None, [], 0
+    for batch in batches:
+        for bucket, high, low in read_rows(batch, "bucket", "high", "low"):
+            if bucket != at and held:
+                yield row(at, held)
+                held, many = [], 0
+            at = bucket
+            held.append(np.frombuffer(high, "<u4").astype(np.uint64) << np.uint64(16) | np.frombuffer(low, "<u2"))
+            many += len(held[-1])
+            if many > 2 * most + len(held[0]):
+                every = np.sort(np.concatenate(held))
+                keep = np.ones(len(every), dtype=bool)
+                keep[2:] = every[2:] != every[:-2]
+                held, many = [every[keep]], 0
+    if held:
+        yield row(at, held)
 
 
 def _answer(slice_id, keys, docs, values):
@@ -310,41 +324,34 @@ def _to_rows(batches, width: str):
         yield pa.RecordBatch.from_arrays([pa.array(keys[own, 0]), pa.array(keys[own, 1]), pa.array(blobs, pa.binary())], names=["k1", "k2", "found"])
 
 
-def _filter(shared: DataFrame):
-    """A bitmap of FILTER_BITS that has the shared names' bits set."""
-    import numpy as np
-
-    bits = np.zeros(FILTER_BITS, dtype=bool)
-    for row in shared.select("high", "low").toLocalIterator():
-        name = np.frombuffer(row["high"], "<u4").astype(np.uint64) << np.uint64(16) | np.frombuffer(row["low"], "<u2")
-        bits[(name % np.uint64(FILTER_BITS)).astype(np.int64)] = True
-    return np.packbits(bits, bitorder="little")
+def _bitmap(shared: DataFrame, buckets: int, bits: int) -> bytes:
+    """The bitmap of so many bits, from its stretches."""
+    size = bits // buckets // 8
+    out = bytearray(bits // 8)
+    for row in shared.collect():  # the bitmap's size in all, whatever the number of names
+        out[row["bucket"] * size : (row["bucket"] + 1) * size] = row["bits"]
+    return bytes(out)
 
 
-def _send_windows(batches, buckets: int, window: int, told=None):
-    """told: the broadcast bitmap of shared anchors; without it the rows carry their own shared anchors in `found`."""
+def _send_windows(batches, buckets: int, window: int, bits: int, told):
+    """told: the broadcast bitmap of shared anchors."""
     import numpy as np
 
+    bitmap = np.frombuffer(told.value, dtype=np.uint8)
     for batch in batches:
         for part in slices(batch):
             got = _slice_rows(part)
             if got is None:
                 continue
             x, bounds, text, begins, keys, slice_id = got
-            name, has, whole = anchors(x, bounds, window)
-            short = name >> np.uint64(16)
-            if told is not None:
-                place = short % np.uint64(FILTER_BITS)
-                known = (told.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool) & has
-            else:
-                shared = [np.frombuffer(v, "<u8") for v in part.column("found").to_pylist() if v is not None]
-                shared = np.unique(np.concatenate([*shared, np.zeros(1, dtype=np.uint64)]))
-                known = (np.append(shared, np.uint64(0))[np.searchsorted(shared, short)] == short) & has
+            symbols = recompressed(x, bounds, window)
+            name, has, whole = anchors(x, bounds, window, symbols=symbols)
+            place = (name >> np.uint64(16)) % np.uint64(bits)
+            known = (bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool) & has
             at = np.nonzero(whole & (known | ~has))[0]
             if not len(at):
                 continue
-            high = span_names(x, at, at + window, 0xD1342543DE82EF95)
-            low = span_names(mix(x ^ np.uint64(0x5851F42D4C957F2D)), at, at + window, 0x2545F4914F6CDD1D)
+            high, low = window_names(x, symbols, at, window)
             docs = text[at]
             yield pack(slice_id, slice_id % buckets, keys=keys, docs=None, ids=None, places=None, high=None, low=None)
             yield from by_bucket(
@@ -408,33 +415,24 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """(doc_id, n_words, n_removed, kept) for each row: kept is its words, without those in windows that also start in a
     row with a smaller id, joined by one space."""
     rows = _keyed(docs, key, text)
-    buckets = bucket_count(docs)
+    buckets, bits, most = bucket_count(docs), FILTER_BITS, MERGE_NAMES
     answers = "slice long, keys binary, docs binary, values binary"
 
-    sends = "bucket int, slice long, keys binary, docs binary, high binary, low binary"
+    sends = "bucket int, slice long, high binary, low binary"
     sends_windows = "bucket int, slice long, keys binary, docs binary, ids binary, places binary, high binary, low binary"
 
     def dealt(sent: DataFrame) -> DataFrame:
         return sent.repartition("bucket").sortWithinPartitions("bucket", "slice")
 
-    def told(sent: DataFrame, answer, width: str) -> DataFrame:
-        back = dealt(sent).mapInArrow(answer, answers).repartition("slice").sortWithinPartitions("slice")
-        each = back.mapInArrow(lambda b: _to_rows(b, width), "k1 long, k2 long, found binary")
-        return each.groupBy("k1", "k2").agg(F.first("found").alias("found"))  # rows that are alike got the same answer
-
     plain = rows.select("k1", "k2", "text")
-    sent = plain.mapInArrow(lambda b: _send_anchors(b, buckets, window), sends)
-    shared = Scratch(docs.sparkSession).keep(dealt(sent).mapInArrow(_find_shared, "bucket int, n long, high binary, low binary"), "shared")
-    n = shared.agg(F.sum("n")).first()[0] or 0
-    if n <= FILTER_NAMES:  # the bitmap's size is fixed, and its false positives cost only windows sent in vain
-        bitmap = docs.sparkSession.sparkContext.broadcast(_filter(shared))
-        sent = plain.mapInArrow(lambda b: _send_windows(b, buckets, window, bitmap), sends_windows)
-    else:
-        empty = F.lit(None).cast("binary")
-        asked = sent.unionAll(shared.select("bucket", F.lit(SHARED).cast("long").alias("slice"), empty.alias("keys"), empty.alias("docs"), "high", "low"))
-        with_shared = plain.join(told(asked, _answer_anchors, "<u8"), ["k1", "k2"], "left").sortWithinPartitions("k1", "k2")
-        sent = with_shared.mapInArrow(lambda b: _send_windows(b, buckets, window), sends_windows)
-    with_places = rows.join(told(sent, _answer_windows, "<u4"), ["k1", "k2"], "left")
+    sent = plain.mapInArrow(lambda b: _send_anchors(b, buckets, window, bits), sends)
+    shared = dealt(sent).mapInArrow(lambda b: _find_shared(b, buckets, bits, most), "bucket int, bits binary")
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(shared, buckets, bits))
+    sent = plain.mapInArrow(lambda b: _send_windows(b, buckets, window, bits, bitmap), sends_windows)
+    back = dealt(sent).mapInArrow(_answer_windows, answers).repartition("slice").sortWithinPartitions("slice")
+    each = back.mapInArrow(lambda b: _to_rows(b, "<u4"), "k1 long, k2 long, found binary")
+    found = each.groupBy("k1", "k2").agg(F.first("found").alias("found"))  # rows that are alike got the same answer
+    with_places = rows.join(found.hint("merge"), ["k1", "k2"], "left")
     return with_places.select("doc_id", "text", "found").mapInArrow(
         lambda b: _remove(b, window), "doc_id long, n_words long, n_removed long, kept string"
     )
