@@ -91,12 +91,24 @@ def test_thresholds(docs, rows, least, monkeypatch):
     monkeypatch.setattr(quality_rules, "MIN_ROWS", least)
     passed = [measures(r[1]) for r in rows]
     want = collections.Counter((r[0], r[1], k) for r, k in zip(rows, fences(rows, passed)))
-    if least == 1:  # groups of their own then, whatever their size
-        want = None
     got = collections.Counter((r.row.doc_id, r.row.text, r.kept) for r in quality_rules.quality_rules(docs).select("row", "kept").collect())
-    assert sum(got.values()) == len(rows)
-    if want:
-        assert got == want
+    assert got == want
+
+
+@pytest.mark.parametrize("salt_rows", [1 << 20, 7])
+def test_thresholds_of_many_groups(docs, rows, salt_rows, monkeypatch):
+    """Beyond the groups that are broadcast, both sides shuffle, large groups over several keys."""
+    monkeypatch.setattr(quality_rules, "MIN_ROWS", 20)
+    monkeypatch.setattr(quality_rules, "BROADCAST_GROUPS", 0)
+    monkeypatch.setattr(quality_rules, "SALT_ROWS", salt_rows)
+    want = collections.Counter((r[0], r[1], k) for r, k in zip(rows, fences(rows, [measures(r[1]) for r in rows])))
+    judged = quality_rules.quality_rules(docs)
+    assert collections.Counter((r.row.doc_id, r.row.text, r.kept) for r in judged.select("row", "kept").collect()) == want
+
+
+def test_quality_rules_are_native(docs):
+    plan = quality_rules.quality_rules(docs)._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
 
 
 def test_quality_of_nothing_and_clashing_names(spark, docs):
@@ -136,6 +148,14 @@ def test_byte_bpe(docs, rows, tokenizer):
     assert collections.Counter((r.doc_id, bytes(r.decoded)) for r in back) == collections.Counter((r[0], (r[1] or "").encode()) for r in rows)
 
 
+def test_byte_bpe_of_nothing_and_clashing_names(spark, docs):
+    path = P.path("byte_bpe_50k.tiktoken")
+    assert byte_bpe.encode(docs.limit(0), path, P.PATTERN, decode=True).count() == 0
+    odd = spark.createDataFrame([("a", "x y", 1, "z")], "doc_id string, text string, key int, ids string")
+    assert [tuple(r)[0] for r in byte_bpe.encode(odd, path, P.PATTERN).collect()] == ["a"]
+    assert token_counts.token_counts(odd, P.path("byte_bpe_50k.json"), P.PATTERN).first()["n_tokens"] == 2
+
+
 def test_byte_bpe_round_trip_of_random_texts(tokenizer):
     rng = random.Random(4)
     codec = byte_bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
@@ -168,9 +188,7 @@ def test_language_model(docs, rows):
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
-def test_language_model_learns_and_is_normalised(spark):
-    import numpy as np
-
+def test_language_model_learns(spark):
     rng = random.Random(2)
     follows = {a: [rng.choice("abcdefghij") for _ in range(2)] for a in "abcdefghij"}
     texts = []
@@ -181,11 +199,78 @@ def test_language_model_learns_and_is_normalised(spark):
         texts.append((i, " ".join(w)))
     got = language_model.language_model_scores(spark.createDataFrame(texts, "doc_id long, text string")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
     assert (got[0] - got[1]) / got[2] > 0.2  # of log10(10) - log10(2), about 0.7
-    noise = np.full(50, 1 / 50)
-    model = language_model.Model(noise)
-    model.right[:] = np.random.default_rng(0).normal(0, 1, model.right.shape)
-    context = np.repeat(np.array([[3, 50]]), 50, axis=0)
-    assert np.exp(model.log_probabilities(context, np.arange(50)).astype(float)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def plain_tokens(text):
+    return (text or "").encode().lower().split() + [b"\n"]
+
+
+def plain_name(token):
+    import xxhash
+
+    last = token.rstrip(b".,;:!?")[-1:] or b"@"
+    return xxhash.xxh64_intdigest(token, 11) // 64 * 64 + last[0] % 32 + 32 * (not token.isascii())
+
+
+@pytest.mark.parametrize("words, members, learner_tokens", [(16_384, 128, 1 << 22), (40, 8, 500), (5, 2, 100)])
+def test_language_model_scores_by_brute_force(spark, words, members, learner_tokens, monkeypatch):
+    """Token by token with the trained model's numbers; the same from other partitions; and all tokens' chances sum to 1."""
+    import numpy as np
+
+    lm = language_model
+    monkeypatch.setattr(lm, "WORDS", words)
+    monkeypatch.setattr(lm, "MEMBERS", members)
+    monkeypatch.setattr(lm, "LEARNER_TOKENS", learner_tokens)
+    monkeypatch.setattr(lm, "FAN_IN", 2)
+    rng = random.Random(3)
+    known = [f"{rng.choice('abcdé')}{i}{rng.choice('xyz.')}" for i in range(90)]
+    rows = [(i, " ".join(known[min(int(rng.expovariate(0.08)), 89)] for _ in range(rng.randrange(40)))) for i in range(150)] + [(None, None), (200, ""), (201, "Never seen"), (3, "A a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {}
+    plain_train = lm.train
+
+    def train(prepared, stats):
+        kept.update(stats=stats, model=plain_train(prepared, stats))
+        return kept["model"]
+
+    monkeypatch.setattr(lm, "train", train)
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in lm.language_model_scores(df.repartition(3).withColumn("key", F.lit(1))).collect())
+    again = sorted((str(r.doc_id), r.n_tokens, r.score) for r in lm.language_model_scores(df.repartition(5)).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in again] and np.allclose([x[2] for x in got], [x[2] for x in again], rtol=1e-4)
+    stats, m = kept["stats"], kept["model"]
+    counts = collections.Counter(t for d, x in rows if zlib.crc32(str(d).encode() if d is not None else b"") % 5 != 1 for t in plain_tokens(x))
+    ranked = sorted(counts, key=lambda t: (-counts[t], plain_name(t)))
+    number = {t: i for i, t in enumerate(ranked[:words])} if len(ranked) > words else {t: i for i, t in enumerate(ranked)}
+    forms = collections.defaultdict(list)
+    for t in ranked[words:]:
+        forms[plain_name(t) % 64].append(counts[t])
+    symbol = lambda t: 64 + number[t] if t in number else plain_name(t) % 64
+    whole = lambda f: sum(forms[f]) + 0.5 * (len(forms[f]) + 1)
+
+    def softmax(scores):
+        e = np.exp(scores - scores.max())
+        return e / e.sum()
+
+    def chance(before, token):
+        s = symbol(token)
+        h = sum(m.position[i].astype(float) * m.left[c] for i, c in enumerate(before))
+        classes = softmax(m.right.astype(float) @ h + m.bias)
+        if s < 64:
+            return classes[s] * (counts[token] + 0.5) / whole(s)
+        c = (s - 64) // members
+        own = softmax(m.word_right[c * members : (c + 1) * members].astype(float) @ h + m.word_bias[c * members : (c + 1) * members])
+        return classes[64 + c] * own[(s - 64) % members]
+
+    none = len(stats.weights)
+    want = []
+    for d, x in rows:
+        tokens = plain_tokens(x)
+        ids = [none, none, *map(symbol, tokens)]
+        want.append((str(d), len(tokens), sum(math.log10(chance((ids[i + 1], ids[i]), t)) for i, t in enumerate(tokens))))
+    assert np.allclose([x[2] for x in got], [x[2] for x in sorted(want)], rtol=1e-4)
+    for before in ((none, none), (64, none), (64, 3)):
+        unseen = sum(0.5 / whole(f) * softmax(m.right.astype(float) @ sum(m.position[i].astype(float) * m.left[c] for i, c in enumerate(before)) + m.bias)[f] for f in range(64))
+        assert sum(chance(before, t) for t in counts) + unseen == pytest.approx(1, abs=1e-5)
 
 
 def test_language_model_of_nothing(spark):

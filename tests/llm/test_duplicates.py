@@ -1,7 +1,9 @@
 """SimHash, substring dedup, sharding, decontamination, licenses, against brute force."""
 
 import collections
+import datetime
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -69,18 +71,20 @@ def test_simhash(docs, rows):
     got = simhash.near_duplicates(docs, ["doc_id"])
     assert collections.Counter((r.doc_id, r.fingerprint, r.least.doc_id) for r in got.collect()) == want
     assert simhash.near_duplicates(docs.limit(0), ["doc_id"]).count() == 0
+    odd = docs.withColumns({"fp0": F.lit("x"), "least": F.lit(1), "fingerprint": F.lit(2), "node": F.lit(3)})
+    assert collections.Counter((r.doc_id, r.fingerprint, r.least.doc_id) for r in simhash.near_duplicates(odd, ["doc_id"]).collect()) == want
 
 
 def test_tiles_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 16)
-    monkeypatch.setattr(simhash, "BLOCK", 8)
+    monkeypatch.setattr(simhash, "STRIP", 8)
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 60)
     fps = np.unique(np.concatenate([base, base ^ 1, base[:20] ^ 6, base[:10] ^ (1 << 50) ^ (1 << 3), rng.integers(0, 16, 40)]))
     df = spark.createDataFrame([(int(x),) for x in fps], "fp0 long")
     want = None
     for parts in (1, 2, 4, 8):
-        got = sorted(map(tuple, components.components(simhash.links(df, 2, 1, parts), "string").collect()))
+        got = sorted(map(tuple, components.components(simhash.links(df, 2, parts), "string").collect()))
         want = want or got
         assert got == want
     root = roots(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 2])
@@ -116,12 +120,15 @@ def plain_removal(rows, window=13):
     return collections.Counter(out)
 
 
-@pytest.mark.parametrize("names", [substrings.FILTER_NAMES, 0])
+@pytest.mark.parametrize("bits, names", [(substrings.FILTER_BITS, substrings.MERGE_NAMES), (1 << 10, 8)])
 @pytest.mark.parametrize("vocabulary", [2, 6, 40])
-def test_substring_dedup(spark, names, vocabulary, monkeypatch):
-    monkeypatch.setattr(substrings, "FILTER_NAMES", names)
+def test_substring_dedup(spark, bits, names, vocabulary, monkeypatch):
+    """Whether the bitmap of shared anchors is sparse or full."""
+    monkeypatch.setattr(substrings, "FILTER_BITS", bits)
+    monkeypatch.setattr(substrings, "MERGE_NAMES", names)
     rows = texts(80, vocabulary, vocabulary)
-    got = substrings.substring_dedup(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3).withColumns({"k1": F.lit(1), "found": F.lit("x"), "slice": F.lit(2)})
+    got = substrings.substring_dedup(df)
     assert collections.Counter(map(tuple, got.collect())) == plain_removal(rows)
 
 
@@ -133,6 +140,25 @@ def test_substring_dedup_of_wider_windows(spark):
 
 def test_substring_dedup_of_nothing(docs):
     assert substrings.substring_dedup(docs.limit(0)).count() == 0
+    with pytest.raises(TypeError):
+        substrings.substring_dedup(docs.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+@pytest.mark.parametrize("window", [13, 20, 40])
+def test_windows_are_named_by_their_symbols(window):
+    rng = np.random.default_rng(1)
+    for kinds in (1, 2, 4, 50):
+        cut = [rng.integers(0, kinds, rng.integers(1, 90)) for _ in range(40)]
+        cut += [np.concatenate([cut[rng.integers(40)], cut[i][3:], cut[rng.integers(40)]]) for i in range(40)]
+        x, sizes = np.concatenate(cut), np.array([len(c) for c in cut])
+        bounds = np.cumsum(sizes) - sizes
+        hashed = substrings.mix(x.astype(np.uint64))
+        symbols = substrings.recompressed(hashed, bounds, window)
+        assert (np.diff(symbols.left) >= 0).all() and (np.diff(symbols.right) >= 0).all()
+        at = np.concatenate([np.arange(b, max(b, b + n - window + 1)) for b, n in zip(bounds, sizes)])
+        names = list(zip(*(v.tolist() for v in substrings.window_names(hashed, symbols, at, window))))
+        words = [tuple(x[i : i + window]) for i in at]
+        assert len(set(names)) == len(set(words)) == len(set(zip(names, words)))
 
 
 @pytest.mark.parametrize("window, rounds", [(13, 1), (13, 2), (32, 2), (40, 3)])
@@ -149,17 +175,37 @@ def test_anchors_depend_on_the_window_only(window, rounds):
             assert seen.setdefault(tuple(x[i : i + window]), (name[i], has[i])) == (name[i], has[i])
 
 
-def test_sharding(docs, rows):
-    got = sharding.shard_documents(docs).collect()
-    assert len(got) == len(rows)
+def ring_walk(rows, shards, vnodes):
+    """(doc_id, size, crc, shard, slot) by walking the ring row by row."""
+    nodes = sharding.ring(shards, vnodes)
+    room, used, keyed, out = sharding.capacities(len(rows), shards), [0] * shards, [], []
+    for d, t in rows:
+        body = (t or "").encode()
+        place = xxhash.xxh64_intdigest(body, 42) >> 1
+        arc = sum(p < place for p, _ in nodes) % len(nodes)
+        tie = 42 if d is None else int.from_bytes(xxhash.xxh64_digest(d.to_bytes(8, "little", signed=True), 42), "big", signed=True)
+        keyed.append((arc, place, tie, -1 if d is None else d, zlib.crc32(body), len(body) + 1, d))
+    for arc, _, _, _, crc, size, d in sorted(keyed, key=lambda k: k[:6]):
+        while used[shard := nodes[arc % len(nodes)][1]] == room[shard]:
+            arc += 1
+        out.append((d, size, crc, shard, used[shard]))
+        used[shard] += 1
+    return collections.Counter(out)
+
+
+@pytest.mark.parametrize("range_rows, vnodes", [(1 << 20, 128), (7, 128), (7, 2), (3, 1)])
+def test_sharding(spark, docs, rows, range_rows, vnodes, monkeypatch):
+    monkeypatch.setattr(sharding, "RANGE_ROWS", range_rows)
+    monkeypatch.setattr(sharding, "CELL_BITS", 4)
+    more = rows + [(None, "hot")] * 50 + [(i, "hot") for i in range(40)]
+    df = spark.createDataFrame(more, SCHEMA).repartition(3).withColumns({"arc": F.lit(1), "n": F.lit("n"), "body": F.lit(0)})
+    got = sharding.shard_documents(df, 8, vnodes).collect()
+    assert collections.Counter(map(tuple, got)) == ring_walk(more, 8, vnodes)
     slots = collections.defaultdict(list)
     for r in got:
         slots[r.shard].append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    sizes = [len(slots[k]) for k in range(8)]
-    assert max(sizes) - min(sizes) <= 1
-    want = collections.Counter((d, len((t or "").encode()) + 1, __import__("zlib").crc32((t or "").encode())) for d, t in rows)
-    assert collections.Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
     assert sharding.shard_documents(docs.limit(0)).count() == 0
 
 
@@ -169,14 +215,6 @@ def test_one_more_shard_moves_little(spark):
     assert sum(a[k] != b[k] for k in a) / len(a) < 0.25  # dealing anew moves 8 of 9
 
 
-def test_hot_text_spreads(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "GROUP_ROWS", 50)
-    df = spark.range(900).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"))
-    got = sharding.shard_documents(df).collect()
-    sizes = collections.Counter(r.shard for r in got)
-    assert set(sizes.values()) == {112, 113} and all(sorted(r.slot for r in got if r.shard == k) == list(range(n)) for k, n in sizes.items())
-
-
 def edit(p, t):
     row = [0] * (len(t) + 1)
     for i, a in enumerate(p, 1):
@@ -199,7 +237,7 @@ def test_myers():
 def test_decontamination(spark):
     rng = random.Random(7)
     words = [f"w{i}" for i in range(300)]
-    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(5, 50)))) for i in range(30)] + [(90, None), (91, "too short"), (92, "")]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(5, 50)))) for i in range(30)] + [(90, None), (91, "w5 w6"), (92, ""), (93, "w17")] + [(94 + i, " ".join(f"w{17 * i + j}" for j in range(i + 3))) for i in range(5)]
     docs = [(1000, None), (1001, "")]
     for k in range(80):
         w, x = [rng.choice(words) for _ in range(60)], rng.choice(items[:30])[1].split()
@@ -214,12 +252,14 @@ def test_decontamination(spark):
         for i, it in items:
             p, own = (decontamination.item_words((s or "").encode()) for s in (it, t))
             budget = int(len(p) * decontamination.ERROR_RATE + 1e-9)
-            if len(p) >= decontamination.MIN_WORDS and (found := edit(p, own)[0]) <= budget:
+            if p and (found := edit(p, own)[0]) <= budget:
                 want[d, i, found, budget] += 1
     df, bench = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
     got = decontamination.matches(df, bench).collect()
     assert collections.Counter((r.doc_id, r.item_id, r.distance, r.budget) for r in got) == want and len(want) > 30
-    hit = {d for d, *_ in want}
+    sizes = {i: len(decontamination.item_words((t or "").encode())) for i, t in items}
+    hit = {d for d, i, *_ in want if sizes[i] >= decontamination.EVIDENCE_WORDS}
+    assert {i for _, i, *_ in want} > {93} and hit < {d for d, *_ in want}
     clean = decontamination.without_contaminated(df.withColumn("key", F.lit(1)), bench)
     assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(d) for d, _ in docs if d not in hit) and clean.columns == ["doc_id", "text", "key"]
     blocks = decontamination.BLOCK_WORDS
@@ -232,6 +272,29 @@ def test_decontamination(spark):
     assert decontamination.without_contaminated(df, bench.limit(0)).count() == len(docs)
 
 
+@pytest.mark.parametrize("kind, value", [("short", 3), ("string", "a"), ("double", 1.5), ("date", datetime.date(2020, 1, 1)), ("array<int>", [1, 2])])
+def test_items_of_any_type(spark, kind, value):
+    bench = spark.createDataFrame([(value, "a b c d e f g h"), (None, "a b c")], f"item_id {kind}, text string").withColumn("doc_id", F.lit(9))
+    df = spark.createDataFrame([("x", "z a b c d e f g h", 1)], "doc_id string, text string, item int")
+    got = decontamination.matches(df, bench)
+    assert got.columns[:2] == ["doc_id", "item_id"]
+    assert sorted((r.doc_id, str(r.item_id), r.distance) for r in got.collect()) == sorted([("x", str(value), 0), ("x", "None", 0)])
+
+
+def test_the_best_of_equal_passages_comes_first(spark):
+    df = spark.createDataFrame([(1, "p q r s t u v w x y, k k p q r s t u v w x y")], SCHEMA)
+    (r,) = decontamination.matches(df, spark.createDataFrame([(7, "p q r s t u v w x y")], "item_id long, text string")).collect()
+    assert (r.distance, r.first_word, r.end_word) == (0, 0, 10)
+
+
+def test_a_phrase_common_to_many_items(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "HITS", 16)
+    items = [(i, f"which of the following is the answer to question number {i} here") for i in range(60)]
+    df = spark.createDataFrame([(d, " and ".join(t for _, t in items[d::3])) for d in range(3)], SCHEMA)
+    got = decontamination.matches(df, spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.where("distance = 0").collect()} == {(i % 3, i) for i, _ in items}
+
+
 def test_another_benchmark_in_the_same_workers(spark):
     df = spark.createDataFrame([(1, "a b c d e f g h"), (2, "s t u v w x y z")], SCHEMA)
     for i, text in ((1, "a b c d e f g h"), (2, "s t u v w x y z")):
@@ -255,7 +318,50 @@ def test_licenses(spark):
             assert by[r.doc_id][r.first_char : r.end_char] == lines[r.license]
     assert licenses.license_matches(spark.createDataFrame([], SCHEMA)).count() == 0
     with pytest.raises(ValueError):
-        licenses.Templates({"x": ["two words"]})
+        licenses.Templates({"x": ["word"]})
+
+
+def test_damaged_licenses_by_brute_force(spark):
+    """Recall and precision: whole-text local alignment with every template tells what is to be found."""
+    rng = random.Random(5)
+    every = licenses.with_tags(licenses.TEMPLATES)
+    rows, n = [], 0
+    for label, texts in every.items():
+        for text in texts:
+            w = text.split()
+            for share in (0.1, 0.2, 0.2, 0.3):
+                damaged = list(w)
+                for i in rng.sample(range(len(w)), int(share * len(w))):
+                    damaged[i] = f"zz{i}"
+                rows.append((n, " ".join(["the", "software", f"x{n}", *damaged, "of", "this"])))
+                n += 1
+    got = collections.defaultdict(list)
+    for r in licenses.license_matches(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect():
+        got[r.doc_id].append(r)
+    texts = {(k, i): decontamination.item_words(t.encode()) for k, ts in every.items() for i, t in enumerate(ts)}
+    wanted = told = 0
+    for d, t in rows:
+        words = decontamination.item_words(t.encode())
+        near = {k: p for k, p in texts.items() if len(set(p) & set(words)) >= 0.6 * len(set(p))}
+        shares = {k: licenses.align(p, words, 0, len(words) + len(p))[0] / len(p) for k, p in near.items()}
+        best = max(shares.values(), default=0)
+        told += len(got[d])
+        if best >= licenses.MIN_COVERAGE:
+            wanted += 1
+            assert max((r.coverage for r in got[d]), default=0) >= best, (d, t, shares)
+        else:
+            assert not got[d]
+        for r in got[d]:
+            assert shares[r.license, r.template] >= r.coverage
+    assert wanted > 100 and told >= wanted
+
+
+def test_ties_of_licenses(spark):
+    """Of templates that cover the same words the longer one is reported, of equal ones the first."""
+    templates = {"b": ["one two three four five six"], "a": ["one two three four five six"], "c": ["one two three four five six seven"]}
+    rows = [(1, "x one two three four five six y"), (2, "x one two three four five six seven")]
+    got = licenses.license_matches(spark.createDataFrame(rows, SCHEMA).withColumn("license", F.lit(1)), templates).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == [(1, "b"), (2, "c")]
 
 
 def test_every_license_text_is_found(spark):
