@@ -29,8 +29,9 @@ def fold_table() -> tuple[str, str]:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(text), *fold_table())
+    """Lower case without accents. Texts of ASCII only have none, and are left to the cheaper lower case."""
+    low = F.lower(text)
+    return F.when(F.octet_length(text) == F.char_length(text), low).otherwise(F.translate(low, *fold_table()))
 
 
 def fold_literal(text: str) -> str:

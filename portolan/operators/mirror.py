@@ -99,11 +99,10 @@ class Registry:
         """Registers the MirrorSpecs that the modules of a package define, by module and name."""
         root = import_module(package)
         names = [package] + [m.name for m in pkgutil.walk_packages(getattr(root, "__path__", []), package + ".")]
-        found: list[MirrorSpec] = []
+        found: dict[int, MirrorSpec] = {}  # a spec that several names hold is one
         for module in map(import_module, sorted(names)):
-            own = [v for _, v in sorted(vars(module).items()) if isinstance(v, MirrorSpec)]
-            found += [s for s in own if not any(s is f for f in found)]
-        return [self.register(s) for s in found]
+            found |= {id(v): v for _, v in sorted(vars(module).items()) if isinstance(v, MirrorSpec)}
+        return [self.register(s) for s in found.values()]
 
     def of(self, owner: str) -> list[MirrorSpec]:
         return self.specs.get(owner, [])

@@ -62,8 +62,7 @@ def keys_gone(keys: DataFrame, owner: DataFrame, key: str) -> DataFrame:
 
 
 def key_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """(key, side): keys, compared as text, that only one of the tables has; side is a or b."""
-    left, right = (x.select(F.col(key).cast("string").alias("key")).distinct() for x in (a, b))
-    return left.join(right, "key", "left_anti").withColumn("side", F.lit("a")).unionByName(right.join(left, "key", "left_anti").withColumn("side", F.lit("b")))
-
-
+    """(key, side): keys, compared as text, that only one of the tables has; side is a or b. One aggregate over both."""
+    of = lambda x, side: x.select(F.col(key).cast("string").alias("key"), F.lit(side).alias("side"))
+    found = of(a, 1).unionAll(of(b, 2)).groupBy("key").agg(F.bit_or("side").alias("side")).where("side < 3")
+    return found.withColumn("side", F.when(F.col("side") == 1, "a").otherwise("b"))
