@@ -26,7 +26,7 @@ def by_bucket(bucket, buckets: int, slice_id: int, first: dict | None = None, **
     """Rows of the columns' entries by bucket; first: columns put before them."""
     import numpy as np
 
-    bucket = bucket.astype(np.uint16)
+    bucket = bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
     order = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
     columns = {k: v[order] for k, v in columns.items()}
@@ -49,5 +49,5 @@ def runs(batches, by: str, names: list[str]):
 
 
 def bucket_count(docs: DataFrame) -> int:
-    """Buckets that names are dealt into: four for each input partition, a power of two from 64 to 32768."""
-    return min(1 << 15, max(64, 1 << (4 * docs.rdd.getNumPartitions() - 1).bit_length()))
+    """Buckets that names are dealt into: four for each input partition, a power of two from 64 to 2**20."""
+    return min(1 << 20, max(64, 1 << (4 * docs.rdd.getNumPartitions() - 1).bit_length()))
