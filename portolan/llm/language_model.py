@@ -36,12 +36,14 @@ WORDS, MEMBERS = 16_384, 128
 CONTEXT = 2
 WIDTH = 16
 #: Noise classes for a minibatch, and noise words for a token.
-NOISE, NOISE_WORDS = 32, 4
+NOISE, NOISE_WORDS = 32, 2
 MINIBATCH = 2048
 RATE = 0.1
 #: The share of the training texts, in sixteenths, that each round uses.
 ROUNDS = (2, 4, 10)
 LEARNER_TOKENS = 1 << 22
+#: Tasks that learners are dealt to; beyond, a task takes several, one after the other.
+MOST_TASKS = 1 << 15
 #: Entries of the broadcast table of frequent tokens' counts, at most.
 TABLE = 65_536
 #: Rows of parameters that one task or the driver averages, at most.
@@ -279,13 +281,13 @@ class Model:
         import numpy as np
 
         out = np.empty(len(h), dtype=np.float32)
-        for a in range(0, len(h), 8192):
-            s = h[a : a + 8192] @ right.T
+        for a in range(0, len(h), 1024):
+            s = h[a : a + 1024] @ right.T
             s += bias
             top = s.max(axis=1)
             s -= top[:, None]
             np.exp(s, out=s)
-            out[a : a + 8192] = top + np.log(s.sum(axis=1))
+            out[a : a + 1024] = top + np.log(s.sum(axis=1))
         return out
 
     def log_probabilities(self, context, target):
@@ -328,7 +330,7 @@ def contexts(symbols, sizes, before: int):
 
 
 class Trainer:
-    """Noise-contrastive estimation with AdaGrad, of the classes and of the words in their classes."""
+    """Noise-contrastive estimation of the classes and of the words in their classes; AdaGrad with one rate a row."""
 
     def __init__(self, model: Model, seed: int):
         import numpy as np
@@ -337,7 +339,7 @@ class Trainer:
         self.log_noise = np.log(model.class_share * NOISE).astype(np.float32)
         self.log_noise_words = np.log(model.word_share * NOISE_WORDS).astype(np.float32)
         self.edges, self.word_edges = np.cumsum(model.class_share), np.cumsum(model.word_share)
-        self.squares = [np.full(x.shape, 1e-4, dtype=np.float32) for x in model.arrays()]
+        self.squares = [np.full(len(x), 1e-4, dtype=np.float32) for x in model.arrays()]
         self.seen = 0
 
     def step(self, context, target) -> None:
@@ -367,11 +369,11 @@ class Trainer:
             last = np.minimum((begin + 1) * m.members, m.words)[:, None] - 1
             at = np.concatenate([w[:, None], np.clip(noise_words, (begin * m.members)[:, None], last)], axis=1)
             rows = m.word_right[at]
-            scores = np.matmul(rows, hw[:, :, None])[:, :, 0]
+            scores = np.einsum("ijk,ik->ij", rows, hw)
             scores += (m.word_bias - self.log_noise_words)[at]
             push = -1 / (1 + np.exp(-np.clip(scores, -30, 30)))
             push[:, 0] += 1
-            gh[some] += np.matmul(push[:, None, :], rows)[:, 0]
+            gh[some] += np.einsum("ij,ijk->ik", push, rows)
             self.update(4, 5, at.ravel(), (push[:, :, None] * hw[:, None, :]).reshape(-1, WIDTH), push.ravel(), rate)
         push = np.concatenate([gh * m.position[i] for i in range(CONTEXT)])
         gposition = np.stack([(gh * left[i]).sum(axis=0) for i in range(CONTEXT)])
@@ -395,8 +397,10 @@ class Trainer:
     def climb(x, squares, rows, gradient) -> None:
         import numpy as np
 
-        squares[rows] += gradient * gradient
-        x[rows] += RATE * gradient / np.sqrt(squares[rows])
+        wide = gradient.ndim == 2
+        squares[rows] += np.einsum("ij,ij->i", gradient, gradient) / gradient.shape[1] if wide else gradient * gradient
+        step = RATE / np.sqrt(squares[rows])
+        x[rows] += gradient * step[:, None] if wide else gradient * step
 
 
 def learner_rows(prepared: DataFrame, share: tuple[int, int], learners: int) -> DataFrame:
@@ -416,7 +420,7 @@ def learner_rows(prepared: DataFrame, share: tuple[int, int], learners: int) ->
                 yield from pa.Table.from_arrays([whose, pa.array(place), docs.column("symbols")], names=["learner", "place", "symbols"]).to_batches()
 
     rows = prepared.where("keys is not null").select("keys").mapInArrow(pick, "learner int, place long, symbols binary")
-    return rows.repartition("learner").sortWithinPartitions("learner", "place", "symbols")
+    return rows.repartition(min(learners, MOST_TASKS), "learner").sortWithinPartitions("learner", "place", "symbols")
 
 
 def train(prepared: DataFrame, stats: Statistics) -> Model:
@@ -562,7 +566,8 @@ def prepare(docs: DataFrame, stats: Statistics, buckets: int) -> DataFrame:
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, doc_rows.schema) as w:
                     w.write_table(doc_rows)
-                yield pack(slice_id, slice_id % buckets, keys=np.frombuffer(sink.getvalue(), np.uint8), docs=None, names=None, counts=None)
+                spread = (slice_id + (slice_id >> 32) * 40_503) % buckets  # documents go by any bucket, each slice's by another
+                yield pack(slice_id, spread, keys=np.frombuffer(sink.getvalue(), np.uint8), docs=None, names=None, counts=None)
                 if rare.any():
                     names = _VOCABULARY.names[tokens[rare]]
                     yield from by_bucket((names // np.uint64(FORMS)) % np.uint64(buckets), buckets, slice_id, {"keys": None}, docs=text[rare].astype("<u2"), names=names, counts=np.zeros((len(names), 0), np.uint8))
