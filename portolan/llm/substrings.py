@@ -15,7 +15,8 @@ Round 1 (Spark): anchors are dealt by name, and those that two rows share are to
 each bucket of names making its own stretch of it; a false hit costs a window sent in vain.
 Round 2 (Spark): windows with a shared anchor, and the few without any anchor, are dealt by a 96-bit name made of the
 symbols that stand inside them and of the words at their edges that no such symbol covers; the least doc_id of each is
-found, and windows with a smaller one than their own are sent back.
+found, and windows with a smaller one than their own are sent back. A slice asks once for a window that it repeats, so a
+hot one meets its bucket once a slice.
 Round 3: the words that such windows cover are removed.
 Names travel packed, a row for each slice of texts and bucket.
 
@@ -41,6 +42,9 @@ FILTER_BITS = 1 << 27
 #: Names that a bucket takes in before it drops those that came three times.
 MERGE_NAMES = 1 << 20
 
+#: Stands for a row's number where a slice asks for a window that it repeats; a slice has fewer rows.
+REPEATED = (1 << 16) - 1
+
 _NAMES: dict = {}
 
 
@@ -299,29 +303,42 @@ def _find_shared(batches, buckets: int, bits: int, most: int):
         yield row(at, held)
 
 
-def _answer(slice_id, keys, docs, values):
+def _answer(slice_id, keys, docs, values, more):
     import pyarrow as pa
 
-    columns = [pa.array([slice_id], pa.int64()), *(pa.array([x], pa.binary()) for x in (keys, docs, values))]
-    return pa.RecordBatch.from_arrays(columns, names=["slice", "keys", "docs", "values"])
+    columns = [pa.array([slice_id], pa.int64()), *(pa.array([x], pa.binary()) for x in (keys, docs, values, more))]
+    return pa.RecordBatch.from_arrays(columns, names=["slice", "keys", "docs", "values", "more"])
 
 
-def _to_rows(batches, width: str):
-    """(k1, k2, found) for each row of a slice that got an answer."""
+def _to_rows(batches):
+    """(k1, k2, found) for each row of a slice that holds windows to be removed: their places."""
     import numpy as np
     import pyarrow as pa
 
-    for _, rows in runs(batches, "slice", ["keys", "docs", "values"]):
-        keys = next((np.frombuffer(k, "<i8").reshape(-1, 2) for k, _, _ in rows if k is not None), None)
-        told = [(np.frombuffer(d, "<u2"), np.frombuffer(v, width)) for k, d, v in rows if k is None]
-        if not told or keys is None:
+    for _, rows in runs(batches, "slice", ["keys", "docs", "values", "more"]):
+        own = next((row for row in rows if row[0] is not None), None)
+        if own is None:
+            continue
+        keys = np.frombuffer(own[0], "<i8").reshape(-1, 2)
+        repeated, at, group = (np.frombuffer(x, t) for x, t in zip(own[1:], ("<u2", "<u4", "<u4")))
+        least = np.full(int(group.max()) + 1 if len(group) else 0, NO_ID, dtype=np.int64)
+        np.minimum.at(least, group, keys[repeated, 0])
+        docs, places = [], []
+        for _, d, v, m in (row for row in rows if row[0] is None):
+            d, v = np.frombuffer(d, "<u2"), np.frombuffer(v, "<u4")
+            one = d != REPEATED
+            docs.append(d[one])
+            places.append(v[one])
+            np.minimum.at(least, v[~one], np.frombuffer(m, "<i8"))
+        later = keys[repeated, 0] > least[group]
+        docs, places = np.concatenate([*docs, repeated[later]]), np.concatenate([*places, at[later]])
+        if not len(docs):
             continue
-        docs, values = (np.concatenate(x) for x in zip(*told))
         order = np.argsort(docs, kind="stable")
-        docs, values = docs[order], values[order]
-        own, first = np.unique(docs, return_index=True)
-        blobs = [x.tobytes() for x in np.split(values, first[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(keys[own, 0]), pa.array(keys[own, 1]), pa.array(blobs, pa.binary())], names=["k1", "k2", "found"])
+        docs, places = docs[order], places[order].astype("<u4")
+        mine, first = np.unique(docs, return_index=True)
+        blobs = [x.tobytes() for x in np.split(places, first[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(keys[mine, 0]), pa.array(keys[mine, 1]), pa.array(blobs, pa.binary())], names=["k1", "k2", "found"])
 
 
 def _bitmap(shared: DataFrame, buckets: int, bits: int) -> bytes:
@@ -352,39 +369,55 @@ def _send_windows(batches, buckets: int, window: int, bits: int, told):
             if not len(at):
                 continue
             high, low = window_names(x, symbols, at, window)
-            docs = text[at]
-            yield pack(slice_id, slice_id % buckets, keys=keys, docs=None, ids=None, places=None, high=None, low=None)
+            low = (low >> np.uint64(32)).astype("<u4")
+            docs = text[at].astype("<u2")
+            places, ids = (at - begins[docs]).astype("<u4"), keys[docs, 0]
+            # windows that the slice repeats go to their bucket once, with their least id; their places stay with the slice
+            order = np.lexsort((low, high))
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
+            begin = np.nonzero(new)[0]
+            sizes = np.diff(np.append(begin, len(order)))
+            once, more = order[begin[sizes == 1]], begin[sizes > 1]
+            least = np.minimum.reduceat(ids[order], begin)[sizes > 1]
+            again = order[np.repeat(sizes > 1, sizes)]
+            group = np.repeat(np.arange(len(more), dtype="<u4"), sizes[sizes > 1])
+            yield pack(slice_id, slice_id % buckets, keys=keys, docs=docs[again], ids=None, places=places[again], high=group, low=None)
+            first = order[more]
+            names = np.concatenate([high[once], high[first]])
             yield from by_bucket(
-                high % np.uint64(buckets), buckets, slice_id, {"keys": None}, docs=docs.astype("<u2"), ids=keys[docs, 0], places=(at - begins[docs]).astype("<u4"),
-                high=high.astype("<u8"), low=(low >> np.uint64(32)).astype("<u4"),
+                names % np.uint64(buckets), buckets, slice_id, {"keys": None}, docs=np.concatenate([docs[once], np.full(len(more), REPEATED, dtype="<u2")]),
+                ids=np.concatenate([ids[once], least]), places=np.concatenate([places[once], np.arange(len(more), dtype="<u4")]),
+                high=names.astype("<u8"), low=np.concatenate([low[once], low[first]]),
             )
 
 
 def _answer_windows(batches):
+    """Sends back the places of windows whose least id is less than their own, and for repeated ones that id."""
     import numpy as np
 
     for _, rows in runs(batches, "bucket", ["slice", "keys", "docs", "ids", "places", "high", "low"]):
         asked = []
-        for slice_id, keys, *blobs in rows:
+        for slice_id, keys, docs, ids, places, high, low in rows:
             if keys is not None:
-                yield _answer(slice_id, keys, None, None)
+                yield _answer(slice_id, keys, docs, places, high)
             else:
-                asked.append((slice_id, *(np.frombuffer(x, t) for x, t in zip(blobs, ("<u2", "<i8", "<u4", "<u8", "<u4")))))
+                asked.append((slice_id, *(np.frombuffer(x, t) for x, t in ((docs, "<u2"), (ids, "<i8"), (places, "<u4"), (high, "<u8"), (low, "<u4")))))
         if not asked:
             continue
         ids, high, low = (np.concatenate([x[i] for x in asked]) for i in (2, 4, 5))
         order = np.lexsort((low, high))
         new = np.ones(len(order), dtype=bool)
         new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
-        least = np.minimum.reduceat(ids[order], np.nonzero(new)[0])[np.cumsum(new) - 1]
-        later = np.zeros(len(order), dtype=bool)
-        later[order] = ids[order] > least
+        least = np.empty(len(order), dtype=np.int64)
+        least[order] = np.minimum.reduceat(ids[order], np.nonzero(new)[0])[np.cumsum(new) - 1]
         begin = 0
         for slice_id, docs, own, places, *_ in asked:
-            found = later[begin : begin + len(own)]
+            told = least[begin : begin + len(own)]
             begin += len(own)
+            found = own > told
             if found.any():
-                yield _answer(slice_id, None, docs[found].tobytes(), places[found].tobytes())
+                yield _answer(slice_id, None, docs[found].tobytes(), places[found].tobytes(), told[found & (docs == REPEATED)].astype("<i8").tobytes())
 
 
 def _remove(batches, window: int):
@@ -416,7 +449,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     row with a smaller id, joined by one space."""
     rows = _keyed(docs, key, text)
     buckets, bits, most = bucket_count(docs), FILTER_BITS, MERGE_NAMES
-    answers = "slice long, keys binary, docs binary, values binary"
+    answers = "slice long, keys binary, docs binary, values binary, more binary"
 
     sends = "bucket int, slice long, high binary, low binary"
     sends_windows = "bucket int, slice long, keys binary, docs binary, ids binary, places binary, high binary, low binary"
@@ -430,7 +463,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(shared, buckets, bits))
     sent = plain.mapInArrow(lambda b: _send_windows(b, buckets, window, bits, bitmap), sends_windows)
     back = dealt(sent).mapInArrow(_answer_windows, answers).repartition("slice").sortWithinPartitions("slice")
-    each = back.mapInArrow(lambda b: _to_rows(b, "<u4"), "k1 long, k2 long, found binary")
+    each = back.mapInArrow(_to_rows, "k1 long, k2 long, found binary")
     found = each.groupBy("k1", "k2").agg(F.first("found").alias("found"))  # rows that are alike got the same answer
     with_places = rows.join(found.hint("merge"), ["k1", "k2"], "left")
     return with_places.select("doc_id", "text", "found").mapInArrow(
