@@ -40,6 +40,17 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
         "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, "
+        "no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly "
+        "perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, "
+        "no-charge, royalty-free, irrevocable (except as stated in this section) patent license to make, have made, use, offer to sell, "
+        "sell, import, and otherwise transfer the Work.",
+        "This License does not grant permission to use the trade names, trademarks, service marks, or product names of the Licensor, except "
+        "as required for reasonable and customary use in describing the origin of the Work and reproducing the content of the NOTICE file.",
+        "Unless required by applicable law or agreed to in writing, Licensor provides the Work (and each Contributor provides its "
+        "Contributions) on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied, including, without "
+        "limitation, any warranties or conditions of TITLE, NON-INFRINGEMENT, MERCHANTABILITY, or FITNESS FOR A PARTICULAR PURPOSE.",
     ],
     "MIT": [
         "Released under the MIT License.",
@@ -57,6 +68,12 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
         "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+        "The licenses for most software and other practical works are designed to take away your freedom to share and change the works. By "
+        "contrast, the GNU General Public License is intended to guarantee your freedom to share and change all versions of a program--to "
+        "make sure it remains free software for all its users.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see "
+        "<https://www.gnu.org/licenses/>.",
     ],
     "CC-BY-NC-4.0": [
         "Licensed under CC BY-NC 4.0.",
@@ -90,16 +107,23 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 2.",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
         "the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public "
+        "License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its "
+        "users.",
     ],
     "LGPL": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
         "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
         "Licensed under the GNU Lesser General Public License, version 3.",
+        "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public "
+        "License, supplemented by the additional permissions listed below.",
     ],
     "AGPL-3.0": [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
         "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "Licensed under the GNU Affero General Public License, version 3.",
+        "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to "
+        "ensure cooperation with the community in the case of network server software.",
     ],
     "GPL-warranty": [
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
@@ -108,6 +132,9 @@ TEMPLATES = {
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
         "file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "Covered Software is provided under this License on an \"as is\" basis, without warranty of any kind, either expressed, implied, or "
+        "statutory, including, without limitation, warranties that the Covered Software is free of defects, merchantable, fit for a "
+        "particular purpose or non-infringing.",
     ],
     "CC-BY-SA-4.0": [
         "Licensed under CC BY-SA 4.0.",
@@ -117,6 +144,26 @@ TEMPLATES = {
         "Licensed under CC BY-ND 4.0.",
         "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
     ],
+    "BSL-1.0": [
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+        "documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, "
+        "and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all "
+        "subject to the following:",
+    ],
+    "CC0-1.0": [
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software "
+        "to the public domain worldwide.",
+    ],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0 which "
+        "accompanies this distribution.",
+    ],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any "
+        "damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+        "redistribute it freely, subject to the following restrictions:",
+    ],
     "Unlicense": [
         "This is free and unencumbered software released into the public domain.",
         "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
